@@ -284,6 +284,119 @@ def cv_summary(spark, sf_dir):
     return evaluate.cv_summary(scores)
 
 
+# ---------------------------------------------------------------- J: models
+# Registered queries use small model settings so the whole catalogue runs in
+# minutes at sf0.01; the library defaults (gbt.DEFAULTS, mlp.DEFAULTS) are the
+# workload's full settings and bench.py runs larger ones.
+HARNESS_TREES = {"max_iter": 10, "max_depth": 5, "min_instances": 250, "step_size": 0.1, "patience": 10}
+HARNESS_TREE_CV = {"max_iter": 3, "max_depth": 3, "patience": 10}
+HARNESS_MLP = {"epochs": 3, "layers": (256, 128), "dropout": 0.2, "batch_size": 1024, "patience": 5}
+HARNESS_MLP_CV = {"epochs": 1}
+
+_FRAMES: dict = {}
+_RUNS: dict = {}
+
+
+def _frames(spark, sf_dir, kind: str):
+    k = (id(spark), sf_dir, kind)
+    if k not in _FRAMES:
+        make = prepare.tree_frames if kind == "tree" else prepare.mlp_frames
+        tr, te, st = _normalised(spark, sf_dir)
+        mf = make(_ds(spark, sf_dir))
+        mf.train = mf.train.persist(StorageLevel.MEMORY_AND_DISK)
+        mf.test = mf.test.persist(StorageLevel.MEMORY_AND_DISK)
+        _FRAMES[k] = mf
+    return _FRAMES[k]
+
+
+def _run(spark, sf_dir, what: str):
+    from shelfcast.plans import train as T
+    k = (id(spark), sf_dir, what)
+    if k not in _RUNS:
+        if what == "gbt":
+            _RUNS[k] = T.trees(_frames(spark, sf_dir, "tree"), "gbt", **HARNESS_TREES)
+        elif what == "gbt_day":
+            _RUNS[k] = T.trees_per_day(_frames(spark, sf_dir, "tree"), "gbt", **HARNESS_TREES)
+        elif what == "mlp":
+            _RUNS[k] = T.mlp_run(_frames(spark, sf_dir, "mlp"), "mlp_256_128", **HARNESS_MLP)
+        elif what == "mlp_day":
+            _RUNS[k] = T.mlp_per_day(_frames(spark, sf_dir, "mlp"), "mlp_256_128",
+                                     **{**HARNESS_MLP, "epochs": 2})
+    return _RUNS[k]
+
+
+def gbt_forecast(spark, sf_dir):
+    from shelfcast.plans.train import scored_report
+    return scored_report(_run(spark, sf_dir, "gbt").scored)
+
+
+def gbt_metrics(spark, sf_dir):
+    return _run(spark, sf_dir, "gbt").metrics
+
+
+def gbt_history(spark, sf_dir):
+    h = _run(spark, sf_dir, "gbt").history
+    return h.withColumn("rmse", F.round("rmse", 6))
+
+
+def history_wide(spark, sf_dir):
+    from shelfcast.sources.files import history_wide as wide
+    return wide(_run(spark, sf_dir, "gbt").history)
+
+
+def gbt_early_stop(spark, sf_dir):
+    h = _run(spark, sf_dir, "gbt").history.filter(F.col("dataset") == "valid")
+    return evaluate.early_stop(h, HARNESS_TREES["patience"])
+
+
+def gbt_importance(spark, sf_dir):
+    return _run(spark, sf_dir, "gbt").importance
+
+
+def gbt_top_features(spark, sf_dir):
+    from shelfcast.operators.gbt import top_features
+    return top_features(_run(spark, sf_dir, "gbt").importance, 10)
+
+
+def gbt_by_day(spark, sf_dir):
+    return _run(spark, sf_dir, "gbt_day").metrics
+
+
+def gbt_by_day_importance(spark, sf_dir):
+    return _run(spark, sf_dir, "gbt_day").importance
+
+
+def gbt_grid_cv(spark, sf_dir):
+    from shelfcast.plans import tune
+    p = dict(HARNESS_TREE_CV)
+    patience = p.pop("patience")
+    curves = tune.tree_cv_curves(_frames(spark, sf_dir, "tree"), k=5, **p)
+    return tune.tree_cv_summary(curves, patience)
+
+
+def mlp_forecast(spark, sf_dir):
+    from shelfcast.plans.train import scored_report
+    return scored_report(_run(spark, sf_dir, "mlp").scored)
+
+
+def mlp_metrics(spark, sf_dir):
+    return _run(spark, sf_dir, "mlp").metrics
+
+
+def mlp_history(spark, sf_dir):
+    return _run(spark, sf_dir, "mlp").history.withColumn("rmse", F.round("rmse", 6))
+
+
+def mlp_by_day(spark, sf_dir):
+    return _run(spark, sf_dir, "mlp_day").metrics
+
+
+def mlp_layout_cv(spark, sf_dir):
+    from shelfcast.plans import tune
+    rows = tune.mlp_layout_cv(_frames(spark, sf_dir, "mlp"), k=5, **HARNESS_MLP_CV)
+    return tune.mlp_cv_summary(rows)
+
+
 def queries() -> dict:
     return {
         "scan_sales": scan_sales,
@@ -321,4 +434,19 @@ def queries() -> dict:
         "union_days": union_days,
         "denormalise": denormalise_predictions,
         "cv_summary": cv_summary,
+        "gbt_forecast": gbt_forecast,
+        "gbt_metrics": gbt_metrics,
+        "gbt_history": gbt_history,
+        "history_wide": history_wide,
+        "gbt_early_stop": gbt_early_stop,
+        "gbt_importance": gbt_importance,
+        "gbt_top_features": gbt_top_features,
+        "gbt_by_day": gbt_by_day,
+        "gbt_by_day_importance": gbt_by_day_importance,
+        "gbt_grid_cv": gbt_grid_cv,
+        "mlp_forecast": mlp_forecast,
+        "mlp_metrics": mlp_metrics,
+        "mlp_history": mlp_history,
+        "mlp_by_day": mlp_by_day,
+        "mlp_layout_cv": mlp_layout_cv,
     }
