@@ -10,11 +10,6 @@ dense aggregates, and so on.
 
 from __future__ import annotations
 
-# Category vocabularies of the test data (regions, store types, part
-# types), needed because SQL names its output columns statically.
-STATES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-TYPES = ["A", "B", "C", "D", "E"]
-FAMILIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 DAY_NAMES_SQL = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday']"
 
 _STAR = """
@@ -147,15 +142,20 @@ _KEYS = "date, store_nbr, item_nbr"
 
 
 def _pivot(by: str) -> str:
-    cols = ", ".join(f"round(avg(CASE WHEN family = '{f}' THEN unit_sales END), 6) AS \"{f}\"" for f in FAMILIES)
-    return _with(*_ALL) + f"\nSELECT {by}, {cols} FROM train GROUP BY {by}"
+    # columns follow the families present in the training set (PIVOT is dynamic)
+    return (_with(*_ALL) + f"\nSELECT * FROM (PIVOT (SELECT {by}, family, unit_sales FROM train) "
+            f"ON family USING round(avg(unit_sales), 6) GROUP BY {by})")
 
 
 def _one_hot() -> str:
-    cols = []
-    for c, vals in (("state", STATES), ("type", TYPES), ("family", FAMILIES)):
-        cols += [f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\"" for v in vals]
-    return _with(*_ALL, _NORM) + f"\nSELECT {_KEYS}, {', '.join(cols)} FROM ntest"
+    # one column per value of the training vocabulary, for every test row
+    longs = " UNION ALL ".join(
+        f"SELECT t.date, t.store_nbr, t.item_nbr, '{c}_' || v.{c} AS col, "
+        f"CAST(coalesce(t.{c} = v.{c}, false) AS INTEGER) AS val "
+        f"FROM ntest t CROSS JOIN (SELECT DISTINCT {c} FROM ntrain WHERE {c} IS NOT NULL) v"
+        for c in ("state", "type", "family"))
+    return (_with(*_ALL, _NORM, f"\noh AS ({longs})")
+            + f"\nSELECT * FROM (PIVOT oh ON col USING first(val) GROUP BY {_KEYS})")
 
 
 def _label_codes() -> str:
