@@ -33,6 +33,8 @@ class Dataset:
     test: DataFrame                  # next year, not filled
     facts: DataFrame                 # sampled training facts (persisted)
     counts: dict = field(default_factory=dict)   # distinct dates / stores / items
+    stores: DataFrame | None = None
+    items: DataFrame | None = None
 
 
 def sampled_facts(sales: DataFrame, items: DataFrame, start=TRAIN_START, end=TRAIN_END) -> DataFrame:
@@ -56,7 +58,7 @@ def build_dataset(sales: DataFrame, stores: DataFrame, items: DataFrame,
     train = build_set(train_panel(facts, counts, **grid_args), stores, items)
     test_facts = sample.fill_missing(sample.sample_perishable(sales, items, *test_period))
     test = build_set(test_facts, stores, items)
-    return Dataset(train, test, facts, counts)
+    return Dataset(train, test, facts, counts, stores, items)
 
 
 def load(spark: SparkSession, sf_dir: str, **kw) -> Dataset:
@@ -84,12 +86,21 @@ class ModelFrames:
     encoder: object = None  # fitted label encoder or one-hot vocabulary
 
 
-def normalised(ds: Dataset, item_stats: DataFrame | None = None):
-    """Fill, per-item statistics from the training rows, z-score both sides,
-    drop the columns the models never use."""
+def normalised(ds: Dataset, item_stats: DataFrame | None = None, sparse: bool = True):
+    """Fill, per-item statistics of the training rows, z-score both sides, drop
+    the columns the models never use.
+
+    By default the statistics come from the observed facts (``sparse_stats``):
+    the grid is then generated once, for the rows being normalised, instead of
+    once more for an aggregate over all of it."""
     train = sample.fill_missing(ds.train)
     test = sample.fill_missing(ds.test)
-    st = item_stats if item_stats is not None else stats.item_stats(train)
+    if item_stats is not None:
+        st = item_stats
+    elif sparse and ds.stores is not None:
+        st = sparse_stats(ds, ds.stores, ds.items)
+    else:
+        st = stats.item_stats(train)
     train_n = stats.normalise(train, st).drop(*UNUSED_COLUMNS)
     test_n = stats.normalise(test, st).drop(*UNUSED_COLUMNS)
     return train_n, test_n, st
