@@ -284,6 +284,38 @@ def cv_summary(spark, sf_dir):
     return evaluate.cv_summary(scores)
 
 
+def _month_curve(spark, sf_dir) -> DataFrame:
+    """Learning curve of the non-learned predictor: at iteration m it is fitted
+    on the training-split rows of months <= m and scored on every validation
+    row. Month sums are exploded to the iterations they count toward (at most
+    12 per (item, weekday, month) aggregate), validation rows to the 12
+    iterations; the final aggregate has 12 groups and runs with partial sums."""
+    tr, _, _ = _normalised(spark, sf_dir)
+    rows = split.with_split(tr.select(*KEY, "month", "day_of_week", "unit_sales"))
+    sums = (rows.filter(F.col("is_train")).groupBy("item_nbr", "day_of_week", "month")
+            .agg(F.sum("unit_sales").alias("s"), F.count(F.lit(1)).alias("c")))
+    grown = (sums.withColumn("iteration", F.explode(F.sequence(F.col("month"), F.lit(12))))
+             .groupBy("item_nbr", "day_of_week", "iteration")
+             .agg((F.sum("s") / F.sum("c")).alias("prediction")))
+    val = (rows.filter(~F.col("is_train"))
+           .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(12)))))
+    scored = val.join(grown, ["item_nbr", "day_of_week", "iteration"], "left")
+    return (scored.groupBy("iteration")
+            .agg(F.sqrt(F.avg(F.pow(F.col("unit_sales") - F.coalesce("prediction", F.lit(0.0)), 2))).alias("rmse"))
+            .select(F.lit("baseline_by_month").alias("run"), "iteration", F.lit("valid").alias("dataset"), "rmse"))
+
+
+CURVE_PATIENCE = 3
+
+
+def learning_curve(spark, sf_dir):
+    return _month_curve(spark, sf_dir).withColumn("rmse", round6(F.col("rmse")))
+
+
+def early_stop(spark, sf_dir):
+    return evaluate.early_stop(_month_curve(spark, sf_dir), CURVE_PATIENCE)
+
+
 # ---------------------------------------------------------------- J: models
 # Registered queries use small model settings so the whole catalogue runs in
 # minutes at sf0.01; the library defaults (gbt.DEFAULTS, mlp.DEFAULTS) are the
@@ -434,6 +466,8 @@ def queries() -> dict:
         "union_days": union_days,
         "denormalise": denormalise_predictions,
         "cv_summary": cv_summary,
+        "learning_curve": learning_curve,
+        "early_stop": early_stop,
         "gbt_forecast": gbt_forecast,
         "gbt_metrics": gbt_metrics,
         "gbt_history": gbt_history,

@@ -204,6 +204,39 @@ def _cv() -> str:
               "round(stddev_pop(rmse), 6) AS rmse_std FROM scores GROUP BY setting")
 
 
+_CURVE = f"""
+crow AS (SELECT item_nbr, day_of_week, month, unit_sales, {IS_TRAIN} AS is_train FROM ntrain),
+csum AS (SELECT item_nbr, day_of_week, month, sum(unit_sales) AS s, count(*) AS c
+         FROM crow WHERE is_train GROUP BY item_nbr, day_of_week, month),
+grown AS (SELECT f.item_nbr, f.day_of_week, CAST(r.iteration AS INTEGER) AS iteration,
+                 sum(f.s) / sum(f.c) AS prediction
+          FROM csum f JOIN range(1, 13) r(iteration) ON r.iteration >= f.month
+          GROUP BY f.item_nbr, f.day_of_week, r.iteration),
+curve AS (
+  SELECT 'baseline_by_month' AS run, CAST(r.iteration AS INTEGER) AS iteration,
+         sqrt(avg((v.unit_sales - coalesce(g.prediction, 0.0)) * (v.unit_sales - coalesce(g.prediction, 0.0)))) AS rmse
+  FROM (SELECT * FROM crow WHERE NOT is_train) v
+  CROSS JOIN range(1, 13) r(iteration)
+  LEFT JOIN grown g ON g.item_nbr = v.item_nbr AND g.day_of_week = v.day_of_week AND g.iteration = r.iteration
+  GROUP BY r.iteration)"""
+
+
+def _early_stop(patience: int) -> str:
+    return _with(*_ALL, _NORM, _CURVE, """
+best AS (
+  SELECT run, iteration, rmse,
+         (min({'v': rmse, 'i': iteration}) OVER (PARTITION BY run ORDER BY iteration
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)).i AS best_iteration
+  FROM curve)""", f"""
+stops AS (
+  SELECT run, coalesce(min(CASE WHEN iteration - best_iteration >= {patience} THEN iteration END), max(iteration)) AS stop_iteration,
+         count(*) AS n_iterations
+  FROM best GROUP BY run)""") + """
+SELECT s.run, s.stop_iteration, b.best_iteration, round(c.rmse, 6) AS best_rmse, s.n_iterations
+FROM stops s JOIN best b ON b.run = s.run AND b.iteration = s.stop_iteration
+JOIN curve c ON c.run = b.run AND c.iteration = b.best_iteration"""
+
+
 def oracle_sql() -> dict:
     w = _with(*_ALL)
     wn = _with(*_ALL, _NORM)
@@ -283,4 +316,6 @@ SELECT s.date, s.store_nbr, s.item_nbr, round(t.unit_sales, 6) AS y_units,
        {_r6('s.prediction * coalesce(s.std, 0) + s.mean')} AS prediction_units
 FROM scored s JOIN test t ON s.date = t.date AND s.store_nbr = t.store_nbr AND s.item_nbr = t.item_nbr""",
         "cv_summary": _cv(),
+        "learning_curve": _with(*_ALL, _NORM, _CURVE) + f"\nSELECT run, iteration, 'valid' AS dataset, {_r6('rmse')} AS rmse FROM curve",
+        "early_stop": _early_stop(3),
     }

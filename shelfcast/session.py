@@ -24,6 +24,9 @@ def build_session(master: str | None = None, app: str = "shelfcast",
          # Joins may reuse a hash partitioning on a subset of their keys (the
          # zero-fill grid is partitioned by item only and balanced by design).
          .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
+         # one BLAS thread per Python worker: tasks already use every core
+         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+         .config("spark.executorEnv.OMP_NUM_THREADS", "1")
          .config("spark.driver.memory", os.environ.get("SHELFCAST_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
