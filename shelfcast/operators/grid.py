@@ -81,8 +81,8 @@ def grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
 
     Runs two small jobs (distinct counts, then the inlined key lists)."""
     counts = counts or key_counts(facts)
-    spark = facts.sparkSession
-    min_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at least one partition per core; beyond that the grid size decides
+    min_parts = facts.sparkSession.sparkContext.defaultParallelism
     plan = plan_grid(counts, rows_per_partition, max_inline, min_parts)
     axis = plan["axis"]
     out = facts.select(axis).distinct().repartition(plan["partitions"], axis)

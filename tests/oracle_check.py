@@ -74,16 +74,27 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main(argv):
     from __spark_entry__ import oracle_sql, queries
     from shelfcast.session import build_session
+    plain = "--plain" in argv
+    argv = [a for a in argv if a != "--plain"]
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:]
-    spark = build_session("local[8]", shuffle_partitions=8)
+    if plain:  # a session with default settings, as an outside caller would build it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
     bad = 0
     for name in names or list(qs):
         if name not in sqls:
-            df = qs[name](spark, sf_dir)
-            print(f"{name:24s} R   rows={df.count()}")
+            t = time.time()
+            try:
+                n = len(qs[name](spark, sf_dir).collect())
+                print(f"{name:24s} R   rows={n:<8d} spark={time.time() - t:6.2f}s")
+            except Exception as e:  # noqa: BLE001
+                bad += 1
+                print(f"{name:24s} BAD error {type(e).__name__}: {str(e)[:300]}")
             continue
         try:
             ok, n, ts, td, detail = compare(spark, con, name, qs[name], sqls[name], sf_dir)
