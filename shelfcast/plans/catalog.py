@@ -263,22 +263,26 @@ def denormalise_predictions(spark, sf_dir):
 
 def cv_summary(spark, sf_dir):
     """5-fold CV of two non-learned predictors: leave-one-fold-out means per
-    item, and per item and weekday. Out-of-fold sums come from one aggregate
-    per (group, fold): total minus the fold's own share, no refit per fold."""
+    item, and per item and weekday.
+
+    The rows are read once: one aggregate of (n, sum y, sum y^2) per (item,
+    weekday, fold). The held-out prediction p of a (group, fold) is the mean of
+    the group's other folds, and the fold's squared error is
+    sum y^2 - 2 p sum y + n p^2 — so no join back to the rows and no refit."""
     tr, _, _ = _normalised(spark, sf_dir)
     rows = split.assign_fold(tr.select(*KEY, "day_of_week", "unit_sales"), 5)
+    base = (rows.groupBy("item_nbr", "day_of_week", "fold")
+            .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("unit_sales").alias("s"),
+                 F.sum(F.col("unit_sales") * F.col("unit_sales")).alias("ss"))).persist()
     scores = None
     for setting, keys in (("item_mean", ["item_nbr"]), ("item_weekday_mean", ["item_nbr", "day_of_week"])):
-        per_fold = rows.groupBy(*keys, "fold").agg(F.sum("unit_sales").alias("s_fold"),
-                                                   F.count(F.lit(1)).alias("n_fold"))
-        tot = per_fold.groupBy(*keys).agg(F.sum("s_fold").alias("s_all"), F.sum("n_fold").alias("n_all"))
-        oof = (per_fold.join(tot, keys)
-               .select(*keys, "fold",
-                       F.when(F.col("n_all") > F.col("n_fold"),
-                              (F.col("s_all") - F.col("s_fold")) / (F.col("n_all") - F.col("n_fold")))
-                        .otherwise(F.lit(0.0)).alias("prediction")))
-        fold_rmse = (rows.join(oof, [*keys, "fold"])
-                     .groupBy("fold").agg(F.sqrt(F.avg(F.pow(F.col("unit_sales") - F.col("prediction"), 2))).alias("rmse"))
+        per_fold = base.groupBy(*keys, "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        tot = per_fold.groupBy(*keys).agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+        p = (F.when(F.col("n_all") > F.col("n"), (F.col("s_all") - F.col("s")) / (F.col("n_all") - F.col("n")))
+             .otherwise(F.lit(0.0)))
+        err = (per_fold.join(tot, keys).withColumn("p", p)
+               .select("fold", "n", (F.col("ss") - 2 * F.col("p") * F.col("s") + F.col("n") * F.col("p") * F.col("p")).alias("sse")))
+        fold_rmse = (err.groupBy("fold").agg(F.sqrt(F.greatest(F.sum("sse"), F.lit(0.0)) / F.sum("n")).alias("rmse"))
                      .select(F.lit(setting).alias("setting"), "fold", "rmse"))
         scores = fold_rmse if scores is None else scores.unionByName(fold_rmse)
     return evaluate.cv_summary(scores)
