@@ -191,7 +191,7 @@ def one_hot(spark, sf_dir):
 
 
 def feature_frame(spark, sf_dir):
-    mf = prepare.tree_frames(_ds(spark, sf_dir))
+    mf = _frames(spark, sf_dir, "tree")
     return stats.with_status(mf.train.select(
         *KEY, "unit_sales", F.col("onpromotion").cast("int").alias("onpromotion"),
         *[F.col(c).cast("int").alias(c) for c in CATEGORICAL], "month", "day_of_week", "is_train"))
@@ -336,9 +336,8 @@ _RUNS: dict = {}
 def _frames(spark, sf_dir, kind: str):
     k = (id(spark), sf_dir, kind)
     if k not in _FRAMES:
-        make = prepare.tree_frames if kind == "tree" else prepare.mlp_frames
-        tr, te, st = _normalised(spark, sf_dir)
-        mf = make(_ds(spark, sf_dir))
+        make = prepare.encode_trees if kind == "tree" else prepare.encode_mlp
+        mf = make(*_normalised(spark, sf_dir))
         mf.train = mf.train.persist(StorageLevel.MEMORY_AND_DISK)
         mf.test = mf.test.persist(StorageLevel.MEMORY_AND_DISK)
         _FRAMES[k] = mf

@@ -110,7 +110,12 @@ def tree_frames(ds: Dataset, item_stats: DataFrame | None = None, test_size: flo
                 seed=42) -> ModelFrames:
     """Label-encoded frames for the boosted trees (codes as doubles carrying
     nominal ML attributes)."""
-    train_n, test_n, st = normalised(ds, item_stats)
+    return encode_trees(*normalised(ds, item_stats), test_size, seed)
+
+
+def encode_trees(train_n: DataFrame, test_n: DataFrame, st: DataFrame, test_size: float = 0.2,
+                 seed=42) -> ModelFrames:
+    """Label codes fitted on the normalised training rows, applied to both sides."""
     train_e, test_e, enc = encode.label_encode(train_n, test_n, CATEGORICAL)
     train_e = split.with_split(train_e.withColumn("onpromotion", F.col("onpromotion").cast("double")),
                                test_size, seed)
@@ -121,7 +126,12 @@ def tree_frames(ds: Dataset, item_stats: DataFrame | None = None, test_size: flo
 def mlp_frames(ds: Dataset, item_stats: DataFrame | None = None, test_size: float = 0.2,
                seed=42) -> ModelFrames:
     """One-hot frames for the MLP; the vocabulary is fitted on training rows."""
-    train_n, test_n, st = normalised(ds, item_stats)
+    return encode_mlp(*normalised(ds, item_stats), test_size, seed)
+
+
+def encode_mlp(train_n: DataFrame, test_n: DataFrame, st: DataFrame, test_size: float = 0.2,
+               seed=42) -> ModelFrames:
+    """One-hot columns from the training vocabulary, on both sides."""
     vocab = encode.fit_one_hot(train_n, CATEGORICAL)
     cast = {"onpromotion": F.col("onpromotion").cast("int")}
     train_e = split.with_split(encode.one_hot(train_n, vocab).withColumns(cast), test_size, seed)
