@@ -91,14 +91,18 @@ def early_stop(history: DataFrame, patience: int, run: str = "run",
     """run, stop_iteration, best_iteration, best_rmse, n_iterations.
 
     Stop = first iteration that has gone ``patience`` iterations without a
-    strict improvement (the last iteration if that never happens)."""
-    c = patience_curve(history, patience, run, iteration, value)
-    stop = (c.groupBy(run).agg(
-        F.coalesce(F.min(F.when(F.col("stops"), F.col(iteration))), F.max(iteration)).alias("stop_iteration"),
-        F.count(F.lit(1)).alias("n_iterations")))
-    at_stop = (c.join(stop, run).filter(F.col(iteration) == F.col("stop_iteration"))
-               .select(run, "stop_iteration", "best_iteration", "n_iterations"))
-    best_val = c.select(run, F.col(iteration).alias("best_iteration"), F.col(value).alias(f"best_{value}"))
-    return (at_stop.join(best_val, [run, "best_iteration"])
-            .select(run, "stop_iteration", "best_iteration", F.round(f"best_{value}", 6).alias(f"best_{value}"),
-                    "n_iterations"))
+    strict improvement (the last iteration if that never happens). One window
+    pass: the running minimum of (value, iteration) carries both the best
+    iteration and its value, so no self-join re-reads the history."""
+    w = Window.partitionBy(run).orderBy(iteration).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(run)
+    best = F.min(F.struct(F.col(value).alias("v"), F.col(iteration).alias("i"))).over(w)
+    c = (history.withColumn("_best", best)
+         .withColumn("_stops", (F.col(iteration) - F.col("_best.i")) >= patience))
+    c = (c.withColumn("stop_iteration",
+                      F.coalesce(F.min(F.when(F.col("_stops"), F.col(iteration))).over(whole),
+                                 F.max(iteration).over(whole)))
+         .withColumn("n_iterations", F.count(F.lit(1)).over(whole)))
+    return (c.filter(F.col(iteration) == F.col("stop_iteration"))
+            .select(run, "stop_iteration", F.col("_best.i").alias("best_iteration"),
+                    F.round(F.col("_best.v"), 6).alias(f"best_{value}"), "n_iterations"))

@@ -291,21 +291,30 @@ def cv_summary(spark, sf_dir):
 def _month_curve(spark, sf_dir) -> DataFrame:
     """Learning curve of the non-learned predictor: at iteration m it is fitted
     on the training-split rows of months <= m and scored on every validation
-    row. Month sums are exploded to the iterations they count toward (at most
-    12 per (item, weekday, month) aggregate), validation rows to the 12
-    iterations; the final aggregate has 12 groups and runs with partial sums."""
+    row.
+
+    The rows are read once, into (n, sum y, sum y^2) per (item, weekday, month,
+    side). Training sums are exploded to the iterations m >= month they count
+    toward; validation sums to all 12 iterations; a validation group's squared
+    error at prediction p is sum y^2 - 2 p sum y + n p^2. Everything after the
+    first aggregate is a table of at most items x 7 x 12 rows."""
     tr, _, _ = _normalised(spark, sf_dir)
     rows = split.with_split(tr.select(*KEY, "month", "day_of_week", "unit_sales"))
-    sums = (rows.filter(F.col("is_train")).groupBy("item_nbr", "day_of_week", "month")
-            .agg(F.sum("unit_sales").alias("s"), F.count(F.lit(1)).alias("c")))
-    grown = (sums.withColumn("iteration", F.explode(F.sequence(F.col("month"), F.lit(12))))
+    sums = (rows.groupBy("item_nbr", "day_of_week", "month", "is_train")
+            .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("unit_sales").alias("s"),
+                 F.sum(F.col("unit_sales") * F.col("unit_sales")).alias("ss"))).persist()
+    grown = (sums.filter(F.col("is_train"))
+             .withColumn("iteration", F.explode(F.sequence(F.col("month"), F.lit(12))))
              .groupBy("item_nbr", "day_of_week", "iteration")
-             .agg((F.sum("s") / F.sum("c")).alias("prediction")))
-    val = (rows.filter(~F.col("is_train"))
+             .agg((F.sum("s") / F.sum("n")).alias("prediction")))
+    val = (sums.filter(~F.col("is_train")).groupBy("item_nbr", "day_of_week")
+           .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
            .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(12)))))
-    scored = val.join(grown, ["item_nbr", "day_of_week", "iteration"], "left")
-    return (scored.groupBy("iteration")
-            .agg(F.sqrt(F.avg(F.pow(F.col("unit_sales") - F.coalesce("prediction", F.lit(0.0)), 2))).alias("rmse"))
+    p = F.coalesce(F.col("prediction"), F.lit(0.0))
+    err = (val.join(grown, ["item_nbr", "day_of_week", "iteration"], "left")
+           .select("iteration", "n", (F.col("ss") - 2 * p * F.col("s") + F.col("n") * p * p).alias("sse")))
+    return (err.groupBy("iteration")
+            .agg(F.sqrt(F.greatest(F.sum("sse"), F.lit(0.0)) / F.sum("n")).alias("rmse"))
             .select(F.lit("baseline_by_month").alias("run"), "iteration", F.lit("valid").alias("dataset"), "rmse"))
 
 
