@@ -60,7 +60,7 @@ def plan_grid(counts: dict, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION
     # Prefer items as the distributed axis: statistics, normalisation and the item
     # dimension all key on it and then reuse the grid's partitioning. Fall back to
     # the largest key set when there are too few items to fill the partitions.
-    if counts["item_nbr"] >= parts or counts["item_nbr"] >= max(counts.values()):
+    if counts["item_nbr"] >= parts or counts["item_nbr"] >= max(counts[k] for k in KEY):
         axis = "item_nbr"
     else:
         axis = max(KEY, key=lambda k: counts[k])
@@ -71,13 +71,13 @@ def plan_grid(counts: dict, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION
         raise ValueError(
             f"grid refused: keys {too_big} have {[counts[k] for k in too_big]} distinct values "
             f"(> {max_inline}) besides {counts[axis]} values of {axis}; the product would exceed "
-            f"{max_inline}^2 x {min(counts.values())} rows")
+            f"{max_inline}^2 x {min(counts[k] for k in KEY)} rows")
     return {"axis": axis, "inline": inline, "rows": rows, "partitions": parts}
 
 
-def grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
-         max_inline: int = DEFAULT_MAX_INLINE, counts: dict | None = None) -> DataFrame:
-    """All (date, store_nbr, item_nbr) combinations of the observed keys.
+def build_grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
+               max_inline: int = DEFAULT_MAX_INLINE, counts: dict | None = None):
+    """The grid and its plan (distributed axis, partition count, rows).
 
     Runs two small jobs (distinct counts, then the inlined key lists)."""
     counts = counts or key_counts(facts)
@@ -88,28 +88,23 @@ def grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
     out = facts.select(axis).distinct().repartition(plan["partitions"], axis)
     for k in plan["inline"]:
         out = out.withColumn(k, F.explode(_inline_values(facts, k)))
-    out = out.select(*KEY)
-    out._shelfcast_axis = (axis, plan["partitions"])
-    return out
+    return out.select(*KEY), plan
 
 
-def grid_axis(grid_df: DataFrame):
-    """(key, partitions) of a grid built by ``grid`` (read from its plan)."""
-    return grid_df._shelfcast_axis if hasattr(grid_df, "_shelfcast_axis") else (None, None)
+def grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
+         max_inline: int = DEFAULT_MAX_INLINE, counts: dict | None = None) -> DataFrame:
+    """All (date, store_nbr, item_nbr) combinations of the observed keys."""
+    return build_grid(facts, rows_per_partition, max_inline, counts)[0]
 
 
-def zero_fill(facts: DataFrame, grid_df: DataFrame | None = None, **grid_args) -> DataFrame:
+def zero_fill(facts: DataFrame, counts: dict | None = None, **grid_args) -> DataFrame:
     """Facts aligned on the grid (left join on the key), missing rows filled with
-    0 units / no promotion. The fact side is the hash-join build side; the grid
-    is streamed and keeps its partitioning."""
-    g = grid_df if grid_df is not None else grid(facts, **grid_args)
+    0 units / no promotion. The fact side is the hash-join build side and is
+    repartitioned like the grid, so only the facts move: with
+    spark.sql.requireAllClusterKeysForCoPartition=false (set by
+    session.build_session; safe here because every grid key carries the same
+    number of rows) the planner keeps the grid where it is."""
+    g, plan = build_grid(facts, counts=counts, **grid_args)
     cols = [c for c in facts.columns if c not in KEY]
-    f = facts.select(*KEY, *cols)
-    axis, parts = grid_axis(g)
-    if axis is not None:
-        # Same hash partitioning as the grid: only the facts move. With
-        # spark.sql.requireAllClusterKeysForCoPartition=false (set by
-        # session.build_session; safe here because every grid key carries the
-        # same number of rows) the planner keeps the grid where it is.
-        f = f.repartition(parts, axis)
+    f = facts.select(*KEY, *cols).repartition(plan["partitions"], plan["axis"])
     return fill_missing(g.join(f.hint("shuffle_hash"), KEY, "left"))

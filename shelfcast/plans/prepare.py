@@ -45,7 +45,7 @@ def sampled_facts(sales: DataFrame, items: DataFrame, start=TRAIN_START, end=TRA
 
 def train_panel(facts: DataFrame, counts: dict | None = None, **grid_args) -> DataFrame:
     counts = counts or G.key_counts(facts)
-    return G.zero_fill(facts, G.grid(facts, counts=counts, **grid_args))
+    return G.zero_fill(facts, counts=counts, **grid_args)
 
 
 def build_dataset(sales: DataFrame, stores: DataFrame, items: DataFrame,
@@ -71,8 +71,10 @@ def sparse_stats(ds: Dataset, stores: DataFrame, items: DataFrame) -> DataFrame:
 
     Panel rows per item = dates x (grid stores with a store row); facts are
     restricted to stores and items that survive the dimension joins."""
-    grid_stores = ds.facts.select("store_nbr").distinct().join(stores.select("store_nbr"), "store_nbr", "left_semi")
-    n_stores = grid_stores.count()
+    if "matched_stores" not in ds.counts:   # one small job per dataset
+        ds.counts["matched_stores"] = (ds.facts.select("store_nbr").distinct()
+                                       .join(stores.select("store_nbr"), "store_nbr", "left_semi").count())
+    n_stores = ds.counts["matched_stores"]
     facts = (ds.facts.join(stores.select("store_nbr"), "store_nbr", "left_semi")
              .join(items.select("item_nbr"), "item_nbr", "left_semi"))
     return stats.item_stats_sparse(facts, ds.counts["date"] * n_stores)
