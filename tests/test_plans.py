@@ -27,3 +27,12 @@ def test_grid_generated_not_joined(spark):
     p = _plan(E.queries()["zero_fill"](spark, SF_SMALL))
     assert "Generate explode" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_grid_rows_not_shuffled(spark):
+    """Between the alignment join and the grid's Generate there is no Exchange:
+    only the facts (the build side) are repartitioned."""
+    lines = _plan(E.queries()["zero_fill"](spark, SF_SMALL)).splitlines()
+    join = next(i for i, l in enumerate(lines) if "ShuffledHashJoin" in l)
+    gen = next(i for i, l in enumerate(lines) if "Generate explode" in l and i > join)
+    assert not any("Exchange" in l for l in lines[join + 1:gen])
