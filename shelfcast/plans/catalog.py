@@ -346,10 +346,9 @@ def _frames(spark, sf_dir, kind: str):
     k = (id(spark), sf_dir, kind)
     if k not in _FRAMES:
         make = prepare.encode_trees if kind == "tree" else prepare.encode_mlp
-        mf = make(*_normalised(spark, sf_dir))
-        mf.train = mf.train.persist(StorageLevel.MEMORY_AND_DISK)
-        mf.test = mf.test.persist(StorageLevel.MEMORY_AND_DISK)
-        _FRAMES[k] = mf
+        # encoded frames are cheap projections of the persisted normalised
+        # frames; they are not stored a second time
+        _FRAMES[k] = make(*_normalised(spark, sf_dir))
     return _FRAMES[k]
 
 
