@@ -171,9 +171,9 @@ def normalise_test(spark, sf_dir):
 
 
 def unseen_items(spark, sf_dir):
-    ds = _ds(spark, sf_dir)
-    st = stats.item_stats(sample.fill_missing(ds.train))
-    return stats.unseen_items(ds.test, st).select(*KEY, "unit_sales")
+    # the session's training statistics (same item set as the dense form)
+    st = _normalised(spark, sf_dir)[2]
+    return stats.unseen_items(_ds(spark, sf_dir).test, st).select(*KEY, "unit_sales")
 
 
 # ---------------------------------------------------------------- I: encoding, splitting
