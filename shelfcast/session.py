@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,7 +28,7 @@ def build_session(master: str | None = None, app: str = "shelfcast",
          # one BLAS thread per Python worker: tasks already use every core
          .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
          .config("spark.executorEnv.OMP_NUM_THREADS", "1")
-         .config("spark.driver.memory", os.environ.get("SHELFCAST_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("SHELFCAST_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -54,8 +55,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint:
-    its blocks die with the executor that holds them)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Tasks import their kernels by name, so an application that was not started
+    with ``--py-files`` still runs on a cluster. The archive is built in a
+    driver-local temporary folder and travels through Spark's own file service.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfcast_shipped", None):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="shelfcast-ship-"), "shelfcast_pkg.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._shelfcast_shipped = path
