@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from shelfcast.llm import bpe, decontaminate, jaccard, line_dedup, minhash, secret_scan, shard, warc
+import corpus_pipeline
+from shelfcast.llm import bpe, decontaminate, jaccard, line_dedup, minhash, quality, secret_scan, shard, warc
 from shelfcast.llm import oracle
 
 
@@ -11,13 +12,15 @@ def queries():
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_warc": warc.op4_warc,
+        "op5_quality": quality.op5_quality,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_histogram_sort": shard.op7_histogram_sort,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_minhash": minhash.op9_minhash,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return dict(oracle.SQL)
+    return dict(oracle.SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
