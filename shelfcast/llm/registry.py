@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfcast.llm import bpe, decontaminate, jaccard, line_dedup, minhash, quality, secret_scan, shard, warc
+from shelfcast.llm import bpe, decontaminate, jaccard, line_dedup, minhash, quality, secret_scan, shard, suffix_dedup, warc
 from shelfcast.llm import oracle
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_warc": warc.op4_warc,
