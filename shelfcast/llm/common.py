@@ -28,13 +28,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table in the shared folder; survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
 
 
-def remove_shared(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this package wrote below the shared folder."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` from which nothing more is read."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
@@ -52,40 +54,73 @@ def mix64(x):
     return x ^ (x >> U64(33))
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes), remembered up to ``limit`` words."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_CHUNK = 1 << 20
+_WORD_POWERS = np.ones(1, np.uint64)
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        from xxhash import xxh64_intdigest
-        self._hash, self._limit = xxh64_intdigest, limit
-
-    def __missing__(self, word):
-        if len(self) >= self._limit:
-            self.clear()
-        h = self[word] = self._hash(word)
-        return h
 
-    def of(self, words) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _powers(n: int) -> np.ndarray:
+    global _WORD_POWERS
+    if len(_WORD_POWERS) < n:
+        p = np.full(max(n, 1024), U64(0xBF58476D1CE4E5B9), np.uint64)
+        p[0] = 1
+        _WORD_POWERS = np.cumprod(p)
+    return _WORD_POWERS
 
 
-_WORDS = WordHashes()
+def _chained(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of ``k`` word hashes."""
+    m = len(words) - k + 1
+    h = np.full(m, U64(k), np.uint64)
+    for j in range(k):
+        h = mix64(h * U64(0x9E3779B97F4A7C15) + words[j:j + m])
+    return h
+
+
+def shingle_sets(texts: list, n: int) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes, ascending, of its shingles of
+    ``n`` words: A-Z lower-cased, cut at ASCII white space; fewer words are one
+    shingle. Vectorised over about a megabyte of texts at a time."""
+    out: list[np.ndarray] = []
+    raw: list[bytes] = []
+    held = 0
+    for t in texts:
+        b = t.encode("utf-8", "surrogatepass") if t else b""
+        if raw and held + len(b) > _CHUNK:
+            out += _shingle_chunk(raw, n)
+            raw, held = [], 0
+        raw.append(b)
+        held += len(b) + 1
+    return out + (_shingle_chunk(raw, n) if raw else [])
+
+
+def _shingle_chunk(raw: list[bytes], n: int) -> list[np.ndarray]:
+    x = np.frombuffer(b" " + b" ".join(raw).lower() + b" ", np.uint8)
+    space = _SPACE[x]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    none = np.zeros(0, np.uint64)
+    if not len(starts):
+        return [none] * len(raw)
+    at = np.arange(len(x)) - np.repeat(np.append(0, starts), np.diff(np.append(0, np.append(starts, len(x)))))
+    at[space] = 0
+    value = (x.astype(np.uint64) + U64(1)) * _powers(int(at.max()) + 1)[at]
+    value[space] = 0
+    words = mix64(np.add.reduceat(value, starts))
+    size = np.array([len(b) + 1 for b in raw])
+    first = np.searchsorted(starts, np.append(1, 1 + np.cumsum(size)))    # first word of each text
+    runs = _chained(words, n) if len(words) >= n else none
+    out = []
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+        if z - a >= n:
+            out.append(np.unique(runs[a:z - n + 1]))
+        else:
+            out.append(_chained(words[a:z], z - a) if z > a else none)
+    return out
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """Distinct 64-bit hashes, ascending, of the shingles of ``n`` words: A-Z
-    lower-cased, cut at ASCII white space; fewer words are one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = _WORDS.of(words)
-    k = min(n, len(w))
-    m = len(w) - k + 1
-    h = np.full(m, U64(k), np.uint64)
-    for j in range(k):
-        h = mix64(h * U64(0x9E3779B97F4A7C15) + w[j:j + m])
-    return np.unique(h)
+    return shingle_sets([text], n)[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -115,6 +150,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+SLOTS = 1 << 18
+
+
+def thinned(rows: DataFrame, keys: DataFrame, key: str = "th") -> DataFrame:
+    """``rows`` without most of those whose (long) key is not in ``keys``, ahead
+    of a join: a broadcast of at most SLOTS slot numbers, so its size is bounded
+    at any scale; where the keys fill all slots, nothing is removed."""
+    slot = F.pmod(F.col(key), F.lit(SLOTS)).cast("int")
+    slots = materialise(keys.select(slot.alias("slot")).distinct(), "slots")
+    return rows.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+
+
 class LRU(OrderedDict):
     def __init__(self, limit: int):
         super().__init__()

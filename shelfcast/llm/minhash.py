@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import U64, materialise, mix64, prepare, shingle_hashes, table
+from shelfcast.llm.common import U64, materialise, mix64, prepare, shingle_hashes, shingle_sets, table, thinned
 
 PERMS = 128
 BANDS = 32            # of PERMS / BANDS lanes
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     def run(batches):
         from shelfcast.llm import minhash as M
         for b in batches:
-            got = [M.signature(M.shingle_hashes(t, M.SHINGLE)).tobytes() for t in b.column(2).to_pylist()]
+            got = [M.signature(h).tobytes() for h in M.shingle_sets(b.column(2).to_pylist(), M.SHINGLE)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())],
                                              names=[f.name for f in schema.fields])
 
@@ -100,14 +100,15 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
     # the real shingle sets of the documents that occur in a pair
     asked = pairs.select(F.explode(F.array("m", "head")).alias("m")).distinct().select(F.col("m.id").alias("i"), F.col("m.th").alias("th"))
     texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    texts = texts.join(asked, texts["i"].eqNullSafe(asked["i"]) & (texts["th"] == asked["th"]), "left_semi").dropDuplicates(["i", "th"])
+    asked = materialise(asked, "minhash-asked")
+    texts = thinned(texts, asked).join(asked, texts["i"].eqNullSafe(asked["i"]) & (texts["th"] == asked["th"]), "left_semi").dropDuplicates(["i", "th"])
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("i", kind), T.StructField("th", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def sets(batches):
         from shelfcast.llm import minhash as M
         for b in batches:
-            got = [M.shingle_hashes(t, M.SHINGLE).tobytes() for t in b.column(2).to_pylist()]
+            got = [h.tobytes() for h in M.shingle_sets(b.column(2).to_pylist(), M.SHINGLE)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["i", "th", "set"])
 
     s = texts.mapInArrow(sets, schema)
@@ -190,16 +191,18 @@ def with_edits(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range:
         held = None      # (part, id, text, th, lanes) still waiting for its successor
         closed = None    # the part whose borrowed row has been used
         for b in batches:
-            out = []
-            for part, own, i, t, th in zip(*(c.to_pylist() for c in b.columns)):
+            ready = []
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            for (part, own, i, t, th), h in zip(rows, M.shingle_sets([r[3] for r in rows], M.SHINGLE)):
                 if not own and closed == part:
                     continue
-                lanes = M.signature(M.shingle_hashes(t, M.SHINGLE))
+                lanes = M.signature(h)
                 if held is not None and held[0] == part:
-                    out.append(M.result(held, t, lanes))
+                    ready.append((held, t, lanes))
                 held = (part, i, t, th, lanes) if own else None
                 if not own:
                     closed = part
+            out = M.results(ready)
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=M.arrow_schema(b, schema))
 
@@ -211,12 +214,15 @@ def arrow_schema(batch, schema):
     return pa.schema([(schema.names[0], batch.schema.field(2).type)] + [(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields[1:]])
 
 
-def result(held: tuple, following: str, lanes_next: np.ndarray) -> tuple:
-    _, i, t, th, lanes = held
-    e = edited(t, following)
-    le = signature(shingle_hashes(e, SHINGLE))
-    return (i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), lanes.tobytes().hex(), le.tobytes().hex(),
-            likeness(lanes, le), likeness(lanes, lanes_next), lanes.tobytes(), th)
+def results(ready: list) -> list[tuple]:
+    texts = [edited(held[2], following) for held, following, _ in ready]
+    out = []
+    for (held, _, lanes_next), e, h in zip(ready, texts, shingle_sets(texts, SHINGLE)):
+        _, i, t, th, lanes = held
+        le = signature(h)
+        out.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), lanes.tobytes().hex(),
+                    le.tobytes().hex(), likeness(lanes, le), likeness(lanes, lanes_next), lanes.tobytes(), th))
+    return out
 
 
 def op9_minhash(spark, sf_dir):
