@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from shelfcast.llm.common import materialise, prepare, table
 
-MOST_LABELLED = 20_000
-MOST_POOL = 10_000
+MOST_LABELLED = 16_000
+MOST_POOL = 8_000
 MOST_FEATURES = 3_000
 LEAST_DOCUMENTS = 3      # of the sample with a text feature
 LEAST_Z = 4.0            # deviation of a text feature's share in a target, in standard errors
@@ -74,12 +74,20 @@ class Sparse:
     """Rows of feature indices; every row also has the last column, the intercept."""
 
     def __init__(self, rows: list, width: int):
-        self.width = width + 1
-        self.n = len(rows)
-        size = np.array([len(r) + 1 for r in rows], np.int64)
-        self.start = np.cumsum(size) - size
-        self.row = np.repeat(np.arange(self.n), size)
-        self.col = np.concatenate([np.append(np.asarray(r, np.int64), width) for r in rows]) if rows else np.zeros(0, np.int64)
+        self._set(np.array([len(r) for r in rows], np.int64),
+                  np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32), width)
+
+    @classmethod
+    def of_lists(cls, lists: pa.ListArray, width: int) -> Sparse:
+        out = cls([], width)
+        out._set(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), width)
+        return out
+
+    def _set(self, size: np.ndarray, cols: np.ndarray, width: int) -> None:
+        self.width, self.n = width + 1, len(size)
+        self.start = np.cumsum(size + 1) - (size + 1)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size + 1)
+        self.col = np.insert(cols.astype(np.int32), np.cumsum(size), np.int32(width))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.add.reduceat(w[self.col], self.start) if self.n else np.zeros(0)
@@ -255,29 +263,33 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_po
     top = lambda h, t: (g.withColumn("z", z(h, t)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f")
                         .limit(most_features // 2).select("f"))
     vocab = sorted({bytes(r.f) for r in top("a", n_low).union(top("b", n_toxic)).collect()})
-    words = spark.sparkContext.broadcast(frozenset(vocab))
+    words = spark.sparkContext.broadcast({v: i for i, v in enumerate(vocab)})
 
-    def chosen_only(batches):
+    def numbered(batches):
         for b in batches:
             i = b.schema.get_field_index("found")
-            cols = list(b.columns)
-            cols[i] = pa.array([[f for f in fs if f in words.value] for fs in b.column(i).to_pylist()], pa.list_(pa.binary()))
+            cols, place = list(b.columns), words.value
+            cols[i] = pa.array([sorted(place[f] for f in fs if f in place) for fs in b.column(i).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    got = sample.mapInArrow(chosen_only, schema).toArrow().sort_by("doc_id").to_pylist()
-    figures = np.array([r["figures"] for r in got]) if got else np.zeros((1, _FIGURES))
+    # on the driver: the sample's feature numbers and figures, column by column
+    got = sample.mapInArrow(numbered, schema.replace("array<binary>", "array<int>")).toArrow().sort_by("doc_id").combine_chunks()
+    column = lambda c: got.column(c).combine_chunks()
+    n_rows = got.num_rows
+    figures = np.asarray(column("figures").flatten().to_numpy()).reshape(n_rows, _FIGURES) if n_rows else np.zeros((1, _FIGURES))
     cuts = [np.quantile(figures[:, i], np.linspace(0, 1, BINS + 1)[1:-1]) for i in range(_FIGURES)]
-    model = Classifier(vocab, cuts, sorted({r["source"] for r in got if r["source"] is not None})[:512],
-                       sorted({r["lang"] for r in got if r["lang"] is not None})[:64], {})
-    views = [Sparse([model.text_row(set(r["found"])) for r in got], model.width[0]),
-             Sparse([model.page_row(r["figures"], r["source"], r["lang"]) for r in got], model.width[1])]
-    own = np.array([r["own"] for r in got], bool)
+    sources, langs = column("source").to_pylist(), column("lang").to_pylist()
+    model = Classifier(vocab, cuts, sorted({x for x in sources if x is not None})[:512], sorted({x for x in langs if x is not None})[:64], {})
+    views = [Sparse.of_lists(column("found"), model.width[0]),
+             Sparse([model.page_row(f, x, g) for f, x, g in zip(figures, sources, langs)], model.width[1])]
+    own = np.array(column("own").to_pylist(), bool)
     for name in TARGETS:
-        labelled = own & np.array([r[name] is not None for r in got], bool)
-        y = np.array([r[name] or 0 for r in got], np.int64)
-        held = np.zeros(len(got), bool)
+        label = column(name).to_pylist()
+        labelled = own & np.array([v is not None for v in label], bool)
+        y = np.array([v or 0 for v in label], np.int64)
+        held = np.zeros(n_rows, bool)
         held[np.flatnonzero(labelled)[::HOLD_OUT]] = True
-        model.targets[name] = co_train(views, labelled, y, held, ~own, rounds) if len(got) else None
+        model.targets[name] = co_train(views, labelled, y, held, ~own, rounds) if n_rows else None
     return model
 
 

@@ -304,13 +304,13 @@ def test_op7_columns(spark):
 # ---- quality classifier ----
 
 def test_classifier_on_held_out_labels(spark):
-    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     model = quality.fit(docs, labels.filter(~held))
     got = quality.score(docs, model).select("doc_id", "quality_class.*").join(labels.filter(held), "doc_id").collect()
     low = [(r.p_low >= 0.5) == (r.quality == 0) for r in got]
     toxic = [(r.p_toxic >= 0.5) == (r.toxic == 1) for r in got]
-    assert np.mean(low) >= 0.97 and np.mean(toxic) >= 0.93
+    assert np.mean(low) >= 0.97 and np.mean(toxic) >= 0.97, (np.mean(low), np.mean(toxic))
     clean = [r.rejected for r in got if r.quality == 1 and r.toxic == 0]
     assert np.mean(clean) <= 0.03
 
