@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from shelfcast.llm.common import prepare, table
 
 CHUNK_CHARS = 1 << 20
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 BLOCK = 64
 
 # states: 0 closed, 1 letters, 2 numbers, 3 others, 4 white space, 5 a space that
