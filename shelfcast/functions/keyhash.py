@@ -24,9 +24,13 @@ def key_hash(seed, *cols: str, salt: str | None = None) -> Column:
 
 def train_flag(seed=DEFAULT_SEED, test_size: float = 0.2,
                cols=("store_nbr", "item_nbr", "date")) -> Column:
-    """True for the training side of a (1 - test_size) / test_size split, in tenths."""
-    tenths = int(round((1.0 - test_size) * 10))
-    return (key_hash(seed, *cols) % 10) < tenths
+    """True for the training side of a (1 - test_size) / test_size split.
+
+    The hash is read as a number in [0, 1): its last decimal digit gives the
+    tenths, the rest of it the finer places."""
+    h = key_hash(seed, *cols)
+    place = (h % 10 + F.floor(h / 10) / F.lit(float(2 ** 32 // 10 + 1))) / 10
+    return place < F.lit(round(1.0 - test_size, 9))
 
 
 def fold_of(k: int, seed=DEFAULT_SEED, cols=("store_nbr", "item_nbr", "date")) -> Column:

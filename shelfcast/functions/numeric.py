@@ -26,8 +26,9 @@ def NEG_INF() -> Column:
 
 
 def ieee_div(num: Column, den: Column) -> Column:
-    """num / den with IEEE results for den = 0 (both assumed non-null)."""
-    return (F.when(den != 0, num / den)
+    """num / den with IEEE results for den = 0; a null operand gives null."""
+    return (F.when(num.isNull() | den.isNull(), F.lit(None).cast("double"))
+            .when(den != 0, num / den)
             .when(num > 0, POS_INF())
             .when(num < 0, NEG_INF())
             .otherwise(NAN()))
@@ -54,6 +55,11 @@ def ieee_status(x: Column) -> Column:
             .otherwise("finite"))
 
 
+def is_finite(x: Column) -> Column:
+    """True for a finite number, false for null, NaN and infinities."""
+    return ieee_status(x) == "finite"
+
+
 def finite_or_null(x: Column) -> Column:
     return F.when(ieee_status(x) == "finite", x)
 

@@ -141,3 +141,21 @@ def test_cv_summary(spark):
 def test_key_hash(spark):
     df = spark.createDataFrame([(1, 2, D(2016, 1, 1))], "store_nbr int, item_nbr long, date date")
     assert df.select(key_hash(None, "store_nbr", "item_nbr", "date")).collect()[0][0] == 3355865333
+
+
+def test_metrics_leave_out_non_finite_rows(spark):
+    rows = [(1, 2.0, 1.0), (1, 4.0, 5.0), (1, float("inf"), 1.0), (1, None, 1.0), (1, 3.0, float("nan"))]
+    df = spark.createDataFrame(rows, "day_of_week int, y double, prediction double")
+    for r in (evaluate.metrics(df, "r").first(), *evaluate.metrics_rollup(df, "r").collect()):
+        assert (r.n_rows, r.n_non_finite, r.mape_status) == (5, 3, "finite")
+        assert abs(r.mape - 37.5) < 1e-6 and abs(r.rmse - 1.0) < 1e-6
+
+
+@pytest.mark.parametrize("size", [0.05, 0.1, 0.15, 0.2, 0.25, 0.5])
+def test_split_takes_any_fraction(spark, size):
+    from shelfcast.functions.keyhash import key_hash, train_flag
+    df = spark.range(40000).selectExpr("cast(id % 50 as int) store_nbr", "id item_nbr", "date '1996-01-01' date")
+    share = 1 - df.filter(train_flag(test_size=size)).count() / 40000
+    assert abs(share - size) < 0.01
+    if size == 0.2:   # the membership of the plain tenths
+        assert df.filter(train_flag(test_size=size) != (key_hash(42, "store_nbr", "item_nbr", "date") % 10 < 8)).count() == 0
