@@ -6,18 +6,20 @@ bits and goes through ``PERMS`` universal hash functions (multiply-shift with
 odd multipliers), vectorised in numpy; the minimum of each is a lane of 16 bits
 of the fingerprint. The share of equal lanes estimates the Jaccard likeness.
 
-Near-duplicates: the lanes form bands; documents whose band agrees meet in a
-Spark aggregate keyed by (band, value), which names the smallest member. Each
-member is paired with that one (never with all others), pairs are taken once
-over all bands, and the Jaccard likeness of the real shingle sets is verified.
+Near-duplicates: the lanes form bands; texts whose band agrees meet in a Spark
+aggregate keyed by the hash of (band, value), which names the member of the
+smallest text hash. Each member is paired with that one (never with all
+others), pairs are taken once over all bands, and the Jaccard likeness of the
+real shingle sets is verified.
 
 The edited text of the contract needs each document's successor in descending
-id order: rows are exchanged once by id ranges; the first row of each range is
-sent to the preceding range as well, so tasks stream through neighbours.
+id order: texts, compressed, are exchanged once by id ranges; the first row of
+each range is sent to the preceding range as well, so tasks stream through
+neighbours.
 
 Edge cases: null texts count as empty; an empty text has no shingles, lanes all
 ones, and is like another empty one only; equal texts have equal fingerprints;
-equal ids are ordered by text, null ids come last; one document is its own
+equal ids are ordered by the hash of their text, null ids come last; one document is its own
 successor; other columns are not read.
 """
 
@@ -27,11 +29,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import U64, materialise, mix64, prepare, shingle_hashes, shingle_sets, table, thinned
+from shelfcast.llm.common import U64, materialise, mix64, prepare, shingle_sets, table, thinned
 
 PERMS = 128
 BANDS = 32            # of PERMS / BANDS lanes
@@ -83,22 +86,28 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     return docs.select(F.col(id_col), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 
+def bands(prints: DataFrame) -> DataFrame:
+    """(th, key): the text hash once per band of its lanes."""
+    width = 2 * PERMS // BANDS
+    keys = [F.xxhash64(F.lit(i), F.col("lanes").substr(i * width + 1, width)) for i in range(BANDS)]
+    return prints.select("th", F.explode(F.array(*keys)).alias("key"))
+
+
 def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="text", least: float = LIKENESS) -> DataFrame:
     """(id, th, near_id, near_th, jaccard): verified links between different
-    texts, each to the smallest (id, th) that shares a band with it. ``prints``:
-    (id, th, lanes). Equal texts share one representative, their smallest id."""
+    texts, each to the text of the smallest hash that shares a band with it.
+    ``prints``: (id, th, lanes), read three times. Equal texts share one
+    representative, their smallest id."""
     spark = docs.sparkSession
     prepare(spark)
-    width = 2 * PERMS // BANDS
-    one = prints.groupBy("th").agg(F.min(id_col).alias("id"), F.first("lanes").alias("lanes"))
-    bands = one.select(F.struct("id", "th").alias("m"), F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.col("lanes").substr(i * width + 1, F.lit(width))))).alias("band", "value"))
-    bands = materialise(bands, "minhash-bands")
-    heads = bands.groupBy("band", "value").agg(F.min("m").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # equal texts have equal keys and hashes: no copy makes a group larger after the map side
+    heads = (bands(prints).groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("last"))
+             .filter("head <> last").select("key", "head"))
     heads = materialise(heads, "minhash-heads")
-    pairs = materialise(bands.join(heads, ["band", "value"]).filter("m <> head").select("m", "head").distinct(), "minhash-pairs")
+    pairs = materialise(bands(prints).join(heads, "key").filter("th <> head").select("th", "head").distinct(), "minhash-pairs")
+    asked = pairs.select(F.explode(F.array("th", "head")).alias("th")).distinct()
+    asked = prints.select(F.col(id_col).alias("i"), "th").join(asked, "th", "left_semi").groupBy("th").agg(F.min("i").alias("i"))
     # the real shingle sets of the documents that occur in a pair
-    asked = pairs.select(F.explode(F.array("m", "head")).alias("m")).distinct().select(F.col("m.id").alias("i"), F.col("m.th").alias("th"))
     texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     asked = materialise(asked, "minhash-asked")
     texts = thinned(texts, asked).join(asked, texts["i"].eqNullSafe(asked["i"]) & (texts["th"] == asked["th"]), "left_semi").dropDuplicates(["i", "th"])
@@ -112,10 +121,7 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["i", "th", "set"])
 
     s = texts.mapInArrow(sets, schema)
-    key = lambda x: F.struct(F.col(f"{x}.i").alias("id"), F.col(f"{x}.th").alias("th"))
-    a, b = s.alias("a"), s.alias("b")
-    j = (pairs.alias("p").join(a.select(key("a").alias("m"), F.col("a.set").alias("s1")), "m")
-         .join(b.select(key("b").alias("head"), F.col("b.set").alias("s2")), "head"))
+    j = (pairs.join(s.toDF("id", "th", "s1"), "th").join(s.toDF("near_id", "head", "s2"), "head"))
     out = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("near_id", kind),
                         T.StructField("near_th", T.LongType()), T.StructField("jaccard", T.DoubleType())])
 
@@ -127,7 +133,7 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score, pa.float64())],
                                              names=[f.name for f in out.fields]).filter(keep)
 
-    return j.select("m.id", "m.th", "head.id", "head.th", "s1", "s2").toDF("id", "th", "near_id", "near_th", "s1", "s2").mapInArrow(verify, out)
+    return j.select("id", "th", "near_id", F.col("head").alias("near_th"), "s1", "s2").mapInArrow(verify, out)
 
 
 def jaccard(x, y) -> float:
@@ -140,32 +146,54 @@ def jaccard(x, y) -> float:
 
 # ---- neighbours in id order ----
 
-def neighbours(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """Rows (part, own, i, t) such that each part, sorted by (i descending with
-    nulls last, t), holds a run of consecutive documents and, as its last row
-    (own = false), the document that follows the run; after the last document
-    the first. One exchange of the texts."""
-    n = docs.count()
-    parts = max(1, -(-n // rows_a_range))
-    cuts = sorted(set(docs.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.1 / parts)), reverse=True) if parts > 1 else []
-    i = F.col(id_col)
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.coalesce(i, F.lit(cuts[-1] - 1)) < F.lit(c)).cast("int")
-    d = docs.select(part.alias("part"), i.alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # first document of each range: the largest id, then the smallest text (by hash of what decides: id only here)
-    firsts = {r.part: r.i for r in d.groupBy("part").agg(F.max("i").alias("i")).collect()}
+def ranges(ids: list, cuts: np.ndarray) -> np.ndarray:
+    """The range of each id, largest ids first; ``cuts`` ascend. Nulls are in the last."""
+    values = np.array([-np.inf if i is None else float(i) for i in ids])
+    return (len(cuts) - np.searchsorted(cuts, values, side="right")).astype(np.int32)
+
+
+def neighbours(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range: int = ROWS_A_RANGE) -> tuple[DataFrame, int]:
+    """Rows (part, own, i, th, z) such that each part, sorted by (i descending
+    with nulls last, th), holds a run of consecutive documents and, as its last
+    rows (own = false), those that start the run which follows; after the last
+    document the first. z is the compressed text. Second: the number of parts.
+    The driver holds one id per ``rows_a_range`` rows."""
+    spark = docs.sparkSession
+    prepare(spark)
+    parts = max(1, -(-docs.count() // rows_a_range))
+    cuts = np.array(sorted(set(docs.approxQuantile(id_col, [i / parts for i in range(1, parts)], 0.1 / parts)) if parts > 1 else []), float)
+    kind = docs.schema[id_col].dataType
+
+    def place(batches):
+        from shelfcast.llm import minhash as M
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(M.ranges(b.column(0).to_pylist(), cuts)), b.column(0)], names=["part", "i"])
+
+    placed = docs.select(id_col).mapInArrow(place, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("i", kind)]))
+    firsts = {r.part: r.i for r in placed.groupBy("part").agg(F.max("i").alias("i")).collect()}
     used = sorted(firsts)
     before = {p: used[k - 1] for k, p in enumerate(used)}          # the range that precedes, cyclic
-    lead = F.lit(False)
-    to = F.lit(None).cast("int")
-    for p in used:
-        here = (F.col("part") == p) & (F.col("i") == F.lit(firsts[p]) if firsts[p] is not None else F.col("part") == p)
-        lead = lead | here
-        to = F.when(F.col("part") == p, F.lit(before[p])).otherwise(to)
-    two = F.when(lead, F.array(F.struct(F.col("part"), F.lit(True).alias("own")), F.struct(to.alias("part"), F.lit(False).alias("own")))) \
-        .otherwise(F.array(F.struct(F.col("part"), F.lit(True).alias("own"))))
-    return d.select(F.explode(two).alias("x"), "i", "t").select("x.part", "x.own", "i", "t")
+    spread = spark.sparkContext.broadcast((cuts, firsts, before))  # one id per range of rows
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("own", T.BooleanType()), T.StructField("i", kind),
+                           T.StructField("th", T.LongType()), T.StructField("z", T.BinaryType())])
+
+    def send(batches):
+        from shelfcast.llm import minhash as M
+        cuts, firsts, before = spread.value
+        pack = zstandard.ZstdCompressor().compress
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            part = M.ranges(ids, cuts)
+            lead = [k for k, (p, i) in enumerate(zip(part.tolist(), ids)) if firsts[p] is None or firsts[p] == i]
+            z = [pack(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            at = pa.array(np.append(np.arange(len(ids)), lead).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(part, [before[part[k]] for k in lead]).astype(np.int32)),
+                pa.array(np.arange(len(at)) < len(ids)), b.column(0).take(at), b.column(1).take(at),
+                pa.array(z + [z[k] for k in lead], pa.binary())], names=schema.names)
+
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col), F.xxhash64(t).alias("th"), t.alias("t")).mapInArrow(send, schema), max(1, len(used))
 
 
 def edited(text: str, following: str) -> str:
@@ -173,27 +201,25 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half] if half else text
 
 
-RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double, lanes binary, th long")
+RESULT = "n_chars long, sha binary, lanes binary, edited_lanes binary, near_edited double, near_next double, th long"
 
 
-def with_edits(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and their likeness."""
-    prepare(docs.sparkSession)
-    rows = neighbours(docs, id_col, text_col, rows_a_range)
+def edits(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Lanes of every text and of its edited text, the digest of the latter, and
+    the likeness to it and to the next document; th is the hash of the text."""
+    rows, n = neighbours(docs, id_col, text_col, rows_a_range)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + T._parse_datatype_string(RESULT).fields)
-    n = max(1, rows.select("part").distinct().count())
-    ranged = (rows.withColumn("th", F.xxhash64("t")).repartition(n, "part")
-              .sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("i"), "t"))
+    ranged = rows.repartition(n, "part").sortWithinPartitions("part", F.desc("own"), F.desc_nulls_last("i"), "th")
 
     def run(batches):
         from shelfcast.llm import minhash as M
+        unpack = zstandard.ZstdDecompressor().decompress
         held = None      # (part, id, text, th, lanes) still waiting for its successor
         closed = None    # the part whose borrowed row has been used
         for b in batches:
             ready = []
-            rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            for (part, own, i, t, th), h in zip(rows, M.shingle_sets([r[3] for r in rows], M.SHINGLE)):
+            rows = [(*r[:4], unpack(r[4]).decode()) for r in zip(*(c.to_pylist() for c in b.columns))]
+            for (part, own, i, th, t), h in zip(rows, M.shingle_sets([r[4] for r in rows], M.SHINGLE)):
                 if not own and closed == part:
                     continue
                 lanes = M.signature(h)
@@ -206,7 +232,17 @@ def with_edits(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range:
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=M.arrow_schema(b, schema))
 
-    return ranged.select("part", "own", "i", "t", "th").mapInArrow(run, schema)
+    return ranged.mapInArrow(run, schema)
+
+
+def with_edits(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """Fingerprints (hexadecimal) of every text and of its edited text, and their likeness."""
+    return readable(edits(docs, id_col, text_col, rows_a_range))
+
+
+def readable(r: DataFrame) -> DataFrame:
+    hexed = {"edited_sha256": "sha", "fingerprint": "lanes", "edited_fingerprint": "edited_lanes"}
+    return r.withColumns({new: F.lower(F.hex(old)) for new, old in hexed.items()}).drop("sha", "edited_lanes")
 
 
 def arrow_schema(batch, schema):
@@ -220,17 +256,16 @@ def results(ready: list) -> list[tuple]:
     for (held, _, lanes_next), e, h in zip(ready, texts, shingle_sets(texts, SHINGLE)):
         _, i, t, th, lanes = held
         le = signature(h)
-        out.append((i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), lanes.tobytes().hex(),
-                    le.tobytes().hex(), likeness(lanes, le), likeness(lanes, lanes_next), lanes.tobytes(), th))
+        out.append((i, len(t), hashlib.sha256(e.encode()).digest(), lanes.tobytes(), le.tobytes(),
+                    likeness(lanes, le), likeness(lanes, lanes_next), th))
     return out
 
 
 def op9_minhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    r = materialise(with_edits(docs).drop("fingerprint"), "minhash-fingerprints")
-    near = near_pairs(docs, r.select("doc_id", F.xxhash64("th").alias("x"), "th", "lanes").drop("x"))
-    # per text: the smallest verified near-duplicate that it shares a band with
+    r = materialise(edits(docs), "minhash-fingerprints")
+    near = near_pairs(docs.withColumn("text", F.coalesce("text", F.lit(""))), r.select("doc_id", "th", "lanes"))
+    # per text: the smallest id of the verified near-duplicates that it shares a band with
     best = near.groupBy("th").agg(F.min("near_id").alias("near_id"))
-    return r.join(best, "th", "left").select(
-        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("lanes")).alias("fingerprint"), "edited_fingerprint",
-        "near_edited", "near_next", "near_id")
+    return readable(r).join(best, "th", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
