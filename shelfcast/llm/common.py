@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfcast.session import checkpoint_dir, ship_package
 
 U64 = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder; survives lost executors."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage with a table in the shared folder; survives lost executors.
+    The shuffle files of the write go when it has ended: nothing reads them again."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 

@@ -120,8 +120,8 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
             got = [h.tobytes() for h in M.shingle_sets(b.column(2).to_pylist(), M.SHINGLE)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["i", "th", "set"])
 
-    s = texts.mapInArrow(sets, schema)
-    j = (pairs.join(s.toDF("id", "th", "s1"), "th").join(s.toDF("near_id", "head", "s2"), "head"))
+    s = materialise(texts.mapInArrow(sets, schema), "minhash-sets")
+    j = pairs.join(s.toDF("id", "th", "s1"), "th").join(s.toDF("near_id", "head", "s2"), "head")
     out = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("near_id", kind),
                         T.StructField("near_th", T.LongType()), T.StructField("jaccard", T.DoubleType())])
 
