@@ -266,6 +266,6 @@ def op9_minhash(spark, sf_dir):
     r = materialise(edits(docs), "minhash-fingerprints")
     near = near_pairs(docs.withColumn("text", F.coalesce("text", F.lit(""))), r.select("doc_id", "th", "lanes"))
     # per text: the smallest id of the verified near-duplicates that it shares a band with
-    best = near.groupBy("th").agg(F.min("near_id").alias("near_id"))
-    return readable(r).join(best, "th", "left").select(
+    best = materialise(near.groupBy("th").agg(F.min("near_id").alias("near_id")), "minhash-near")
+    return readable(r.join(best, "th", "left")).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
