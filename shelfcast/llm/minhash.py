@@ -6,11 +6,15 @@ bits and goes through ``PERMS`` universal hash functions (multiply-shift with
 odd multipliers), vectorised in numpy; the minimum of each is a lane of 16 bits
 of the fingerprint. The share of equal lanes estimates the Jaccard likeness.
 
-Near-duplicates: the lanes form bands; texts whose band agrees meet in a Spark
-aggregate keyed by the hash of (band, value), which names the member of the
-smallest text hash. Each member is paired with that one (never with all
-others), pairs are taken once over all bands, and the Jaccard likeness of the
-real shingle sets is verified.
+Near-duplicates: the lanes form bands; texts whose band agrees, by the hash of
+(band, value), are a group. Groups go through the rounds of the Jaccard join
+(``jaccard.list_links``): in a small group all pairs are held against parity
+sketches, in a large one each member is compared with the head (smallest text
+hash), those near to it meet on their differences from it, and those far from
+it are grouped again. The Jaccard likeness of the real shingle sets is verified
+(``PERCENT`` or more), and the links span the components of all links between
+texts that share a band. Every document gets the smallest id of its component
+as class id.
 
 The edited text of the contract needs each document's successor in descending
 id order: texts, compressed, are exchanged once by id ranges; the first row of
@@ -34,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import U64, materialise, mix64, prepare, shingle_sets, table, thinned
+from shelfcast.llm.common import U64, components, discard, materialise, mix64, prepare, shingle_sets, table, thinned
+from shelfcast.llm.jaccard import frequent_order, list_links
 
 PERMS = 128
 BANDS = 32            # of PERMS / BANDS lanes
 SHINGLE = 5
-LIKENESS = 0.8
+PERCENT = 80          # least Jaccard likeness of a link
+NEAR = 40             # distance (%) up to which a head settles a member: that of two links at least
 ROWS_A_RANGE = 20_000
 _EMPTY_LANES = np.full(PERMS, 0xFFFF, np.uint16)
 
@@ -93,55 +99,66 @@ def bands(prints: DataFrame) -> DataFrame:
     return prints.select("th", F.explode(F.array(*keys)).alias("key"))
 
 
-def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="text", least: float = LIKENESS) -> DataFrame:
+def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, th, near_id, near_th, jaccard): verified links between different
-    texts, each to the text of the smallest hash that shares a band with it.
+    texts that share a band; they span the same components as all such links.
     ``prints``: (id, th, lanes), read three times. Equal texts share one
     representative, their smallest id."""
     spark = docs.sparkSession
     prepare(spark)
     # equal texts have equal keys and hashes: no copy makes a group larger after the map side
-    heads = (bands(prints).groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("last"))
-             .filter("head <> last").select("key", "head"))
+    heads = bands(prints).groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("last")).filter("head <> last").select("key")
     heads = materialise(heads, "minhash-heads")
-    pairs = materialise(bands(prints).join(heads, "key").filter("th <> head").select("th", "head").distinct(), "minhash-pairs")
-    asked = pairs.select(F.explode(F.array("th", "head")).alias("th")).distinct()
+    members = materialise(bands(prints).join(heads, "key", "left_semi").distinct().select(F.col("key").alias("token"), F.col("th").alias("sid")),
+                          "minhash-members")
+    # the head of a group is its smallest hash
+    size = members.groupBy("token").agg(F.count("*").alias("c"))
+    lists = materialise(members.join(size, "token").withColumn("rare", F.lit(0)), "minhash-lists")
+    asked = members.select(F.col("sid").alias("th")).distinct()
     asked = prints.select(F.col(id_col).alias("i"), "th").join(asked, "th", "left_semi").groupBy("th").agg(F.min("i").alias("i"))
-    # the real shingle sets of the documents that occur in a pair
+    # the real shingle sets of the documents that share a band with another
     texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     asked = materialise(asked, "minhash-asked")
+    discard(members)
     texts = thinned(texts, asked).join(asked, texts["i"].eqNullSafe(asked["i"]) & (texts["th"] == asked["th"]), "left_semi").dropDuplicates(["i", "th"])
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("i", kind), T.StructField("th", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def sets(batches):
+        from shelfcast.llm import jaccard as J
         from shelfcast.llm import minhash as M
         for b in batches:
-            got = [h.tobytes() for h in M.shingle_sets(b.column(2).to_pylist(), M.SHINGLE)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["i", "th", "set"])
-
-    s = materialise(texts.mapInArrow(sets, schema), "minhash-sets")
-    j = pairs.join(s.toDF("id", "th", "s1"), "th").join(s.toDF("near_id", "head", "s2"), "head")
-    out = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("near_id", kind),
-                        T.StructField("near_th", T.LongType()), T.StructField("jaccard", T.DoubleType())])
+            got = M.shingle_sets(b.column(1).to_pylist(), M.SHINGLE)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int32()), J.sketches(got),
+                                              pa.array([h.tobytes() for h in got], pa.binary())], names=["sid", "n", "sketch", "hashes"])
 
-    def verify(batches):
-        from shelfcast.llm import minhash as M
+    def count(batches):
+        from shelfcast.llm import jaccard as J
         for b in batches:
-            score = [M.jaccard(x, y) for x, y in zip(b.column(4), b.column(5))]
-            keep = pa.array([v >= least for v in score], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(score, pa.float64())],
-                                             names=[f.name for f in out.fields]).filter(keep)
-
-    return j.select("id", "th", "near_id", F.col("head").alias("near_th"), "s1", "s2").mapInArrow(verify, out)
-
-
-def jaccard(x, y) -> float:
-    a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-    if not len(a) or not len(b):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+            got = [np.frombuffer(h, np.uint64) for h in b.column(0).to_pylist()]
+            tokens, n = J.often(got) if got else (np.zeros(0, np.uint64), [])
+            yield pa.RecordBatch.from_arrays([J._long(tokens), pa.array(n, pa.int64())], names=["token", "n"])
+
+    s = materialise(texts.select("th", "t").mapInArrow(sets, "sid bigint, n int, sketch array<bigint>, hashes binary"), "minhash-sets")
+    values = frequent_order(s.select("hashes").mapInArrow(count, "token bigint, n bigint"))
+    frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # at most 8 MB
+    links = list_links(lists, s.filter("n > 0").select("sid", "n", "sketch"), lambda wanted: s, frequent, [], percent=percent, near=NEAR)
+    links = links.groupBy(F.greatest("a", "b").alias("th"), F.least("a", "b").alias("near_th")).agg(
+        F.first(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
+    return (links.join(asked.select("th", F.col("i").alias("id")), "th")
+            .join(asked.select(F.col("th").alias("near_th"), F.col("i").alias("near_id")), "near_th")
+            .select("id", "th", "near_id", "near_th", "jaccard"))
+
+
+def classes(prints: DataFrame, near: DataFrame, id_col="doc_id") -> DataFrame:
+    """(th, class_id, near_id) of every text that is linked or occurs more than
+    once: the smallest id of its component, and of the texts it is verified with."""
+    partner = (near.select("th", "near_id").union(near.select(F.col("near_th").alias("th"), F.col("id").alias("near_id")))
+               .groupBy("th").agg(F.min("near_id").alias("near_id")))
+    root = components(near.select(F.col("th").alias("a"), F.col("near_th").alias("b")))
+    root = root.union(root.select("root", "root").distinct()).withColumnRenamed("node", "th")
+    own = prints.groupBy("th").agg(F.min(id_col).alias("i"), F.count("*").alias("c")).join(root, "th", "left")
+    own = materialise(own.filter("c > 1 or root is not null").select("th", "i", F.coalesce("root", "th").alias("root")), "minhash-roots")
+    least = own.groupBy("root").agg(F.min("i").alias("class_id"))
+    return own.join(least, "root").select("th", "class_id").join(partner, "th", "left")
 
 
 # ---- neighbours in id order ----
@@ -264,8 +281,8 @@ def results(ready: list) -> list[tuple]:
 def op9_minhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     r = materialise(edits(docs), "minhash-fingerprints")
-    near = near_pairs(docs.withColumn("text", F.coalesce("text", F.lit(""))), r.select("doc_id", "th", "lanes"))
-    # per text: the smallest id of the verified near-duplicates that it shares a band with
-    best = materialise(near.groupBy("th").agg(F.min("near_id").alias("near_id")), "minhash-near")
+    near = materialise(near_pairs(docs.withColumn("text", F.coalesce("text", F.lit(""))), r.select("doc_id", "th", "lanes")), "minhash-near")
+    best = materialise(classes(r.select("doc_id", "th"), near), "minhash-classes")
     return readable(r.join(best, "th", "left")).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -153,6 +153,53 @@ def test_minhash_pairs_are_verified(spark):
     assert len({first[texts[i]] for i in near} - linked) <= 0.05 * len(near)
 
 
+def around_a_template(r):
+    """A text that the others resemble by 0.6 to 0.75, and pairs of them at about 0.9; unrelated pairs."""
+    word = lambda: f"w{r.randrange(10 ** 6)}"
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(40):
+        w = [*base[:r.randint(225, 250)], *[word() for _ in range(r.randint(10, 25))]]
+        texts += [" ".join(w), " ".join(w[:-3] + [word()]), " ".join(w[:60] + [word()] + w[61:])]
+    for _ in range(10):
+        w = [word() for _ in range(200)]
+        texts += [" ".join(w), " ".join(w[:-4] + [word()])]
+    return texts
+
+
+@pytest.mark.parametrize("star_cost", [128, 2])
+def test_minhash_classes_equal_brute_force(spark, monkeypatch, tmp_dir, star_cost):
+    monkeypatch.setattr(jaccard, "STAR_COST", star_cost)   # 2: groups around the template go through heads and rounds
+    texts = around_a_template(random.Random(12))
+    texts += [texts[1], texts[2], texts[0], None, "", "  ", "\n"]
+    docs = [(i * 7 % 401, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_dir}/documents.parquet")
+    got = {x.doc_id: x for x in minhash.op9_minhash(spark, tmp_dir).collect()}
+    assert len(got) == len(docs)
+    sets = {i: shingles(t, 5) for i, t in docs}
+    text = {i: t or "" for i, t in docs}
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alike = set()
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            link = both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+            if i < j and (link or text[i] == text[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+            if link and text[i] != text[j]:
+                alike.add((i, j))
+    assert {i: x.class_id for i, x in got.items()} == {i: find(i) for i in root}
+    assert all((x.near_id is not None) == any(a == i for a, _ in alike) for i, x in got.items())
+    assert all(x.near_id is None or (i, x.near_id) in alike for i, x in got.items())
+
+
 def test_minhash_edges(spark):
     d = spark.createDataFrame([(7, None), (7, ""), (None, "a b"), (3, "q" * 50)], "doc_id long, text string")
     got = minhash.with_edits(d).collect()
