@@ -85,6 +85,40 @@ def test_jaccard_join_without_frequent_order(spark, similar, monkeypatch):
     assert sorted(tuple(x) for x in jaccard.join(d).select("doc_id", "n_shingles", "component_id").collect()) == brute_components(docs)
 
 
+def split_entries():
+    """Sets that share 2 entries of light lists and 1 of a heavy list whose pivot is far from them; 3 are asked for.
+    x: 100 frequent shingles; y: x and 11 rare ones; fillers make x's first entries frequent, in one list more than 257."""
+    r = np.random.default_rng(5)
+    x = np.unique(r.integers(1, 2 ** 62, 100).astype(np.uint64))
+    own = r.integers(1, 2 ** 62, 11).astype(np.uint64)
+    sets = {1: x, 2: np.unique(np.append(x, own))}
+    lists = [(100 + k, sid) for k in range(3) for sid in (1, 2)]
+    for k in range(300):     # the heavy list 100: others, far from both and from one another
+        sets[10 + k] = np.unique(r.integers(1, 2 ** 62, 100).astype(np.uint64))
+        lists.append((100, 10 + k))
+    return sets, lists
+
+
+def test_jaccard_lists_split_over_rounds(spark):
+    sets, lists = split_entries()
+    common.prepare(spark)
+    s = spark.createDataFrame([(i, len(h), w, bytearray(h.tobytes())) for (i, h), w in zip(sets.items(), jaccard.sketches(list(sets.values())).to_pylist())],
+                              "sid long, n int, sketch array<long>, hashes binary")
+    # the pivot of the heavy list is the set with the fewest rare shingles: not 1 or 2
+    d = spark.createDataFrame([(t, i, 0 if i > 2 else 9) for t, i in lists], "token long, sid long, rare int")
+    order = ("none", spark.sparkContext.broadcast(np.zeros(0, np.uint64)))
+    got = jaccard.list_links(jaccard.shared_lists(d), s.select("sid", "n", "sketch"), lambda wanted: s, order, [],
+                             lambda n: F.floor(jaccard.shared(n)) + 1)
+    assert {tuple(sorted((r.a, r.b))) for r in got.collect()} == {(1, 2)}
+
+
+def test_jaccard_pivot_at_the_limit_settles():
+    # distance 3/10 from the pivot: what the rounds leave out has to be listed here
+    x, p = (np.array(v, np.uint64) for v in (range(9), [*range(2, 9), 10]))
+    rows = jaccard.differences(jaccard.Order(np.zeros(0, np.uint64)), x, p, 7, 1, 2)
+    assert {r[0] for r in rows} == {1, 2}
+
+
 def test_jaccard_join_edges(spark):
     d = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "A B C D"), (4, "A B C D"), (None, "x y z"), (None, None)],
                               "doc_id long, text string")
