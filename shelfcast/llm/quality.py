@@ -5,15 +5,17 @@ in the whole text. View ``page``: source, language, length and layout figures
 (shares of capitals, digits, symbols, blanks and non-ASCII bytes, lines, word
 length, share of different words), each in quantile bins. For each target (low
 quality, toxic) both views have a logistic model. In each round every model is
-fitted on its labels, and documents of an unlabelled pool on which the *other*
-view is confident (beyond the cut at which held-out labelled documents are
+fitted on its labels, and unlabelled documents on which the *other* view is
+confident (beyond the cut at which held-out labelled documents are
 ``PRECISION`` pure) join its labels. At the end both views are calibrated on
 the held-out labels, combined, and every document is scored.
 
-Bounded: models are fitted on at most ``MOST_LABELLED`` labelled and
-``MOST_POOL`` unlabelled documents (smallest hashes of the id), with at most
-``MOST_FEATURES`` text features; feature counts come from that sample. Scoring
-covers all documents; models are broadcast and a few hundred KB at most.
+Bounded: at most ``MOST_LABELLED`` labelled documents (smallest hashes of the
+id) are held by the driver, with at most ``MOST_FEATURES`` text features counted
+over them. All other documents are the unlabelled ones: each step of a fit is a
+Spark job that sums the gradients over them, and the quantiles of the figures
+come from all documents. Sources and languages are hashed into a fixed width.
+Scoring covers all documents; models are a few hundred KB at most.
 
 Edge cases: null text counts as empty, null source or language as a value of
 its own; labels that are null are ignored, and of several labels of an id the
@@ -24,16 +26,17 @@ empty result; equal documents get equal scores; further columns pass through.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import materialise, prepare, table
+from shelfcast.llm.common import discard, materialise, prepare, table
 
 MOST_LABELLED = 16_000
-MOST_POOL = 8_000
 MOST_FEATURES = 3_000
 LEAST_DOCUMENTS = 3      # of the sample with a text feature
 LEAST_Z = 4.0            # deviation of a text feature's share in a target, in standard errors
@@ -42,6 +45,8 @@ PRECISION = 0.98
 HOLD_OUT = 5             # every fifth labelled document
 BINS = 12
 REJECT = 0.5
+SOURCES, LANGS = 4096, 512   # columns that names are hashed into
+DIRECT = 256             # so many tasks send their sums to the driver themselves; those of more are added up first
 TARGETS = ("low", "toxic")
 
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -144,22 +149,26 @@ def combine(a: np.ndarray, b: np.ndarray, y: np.ndarray, steps=60) -> list[float
     return [float(v) for v in c]
 
 
-def confident(score: np.ndarray, held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool scores beyond the cuts at which the held-out labels are pure enough."""
-    up = np.zeros(len(score), bool)
-    down = up.copy()
+def pure_cuts(held: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The scores below and above which the held-out labels are pure enough."""
     order = np.argsort(held)
     s, t = held[order], y[order]
     n = np.arange(1, len(s) + 1)
     low = np.flatnonzero((np.cumsum(1 - t) / n >= PRECISION) & (n >= 5))
-    if len(low):
-        down = score < s[low[-1]]
     high = np.flatnonzero((np.cumsum(t[::-1]) / n >= PRECISION) & (n >= 5))
-    if len(high):
-        up = score > s[::-1][high[-1]]
+    return float(s[low[-1]]) if len(low) else -np.inf, float(s[::-1][high[-1]]) if len(high) else np.inf
+
+
+def beyond(score: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    up, down = score > high, score < low
     return up & ~down, down & ~up
 
 
+def confident(score: np.ndarray, held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool scores beyond the cuts at which the held-out labels are pure enough."""
+    return beyond(score, *pure_cuts(held, y))
+
+
 def co_train(views: list[Sparse], labelled: np.ndarray, y: np.ndarray, held: np.ndarray, pool: np.ndarray, rounds=ROUNDS) -> dict | None:
     """Models of both views for one target. ``labelled``, ``held``, ``pool``: row
     masks; ``y``: labels of all rows (only those of labelled rows are read)."""
@@ -178,6 +187,7 @@ def co_train(views: list[Sparse], labelled: np.ndarray, y: np.ndarray, held: np.
             up, down = confident(scores[1 - other][pool], scores[1 - other][held], y[held])
             at = np.flatnonzero(pool)
             weight[other][at] = 0.5 * (up | down)
+            weight[other][at] *= balance(train.sum(), weight[other][at].sum())
             target[other][at] = up
     cal = [calibrate(s[held], y[held].astype(float)) for s in scores]
     odds = [c[0] * s + c[1] for c, s in zip(cal, scores)]
@@ -185,16 +195,79 @@ def co_train(views: list[Sparse], labelled: np.ndarray, y: np.ndarray, held: np.
     return {"models": models, "calibration": cal, "mix": mix}
 
 
+def balance(labels: float, pool: float) -> float:
+    """Factor of the weight of all confident rows, so that together they don't
+    outweigh the labels: the corpus may be any number of times as large."""
+    return min(1.0, labels / max(pool, 1e-9))
+
+
+def pool_sums(views: list[Sparse], state: dict) -> np.ndarray:
+    """For each target and view, end to end: the gradient sum over the rows on
+    which the other view is confident, and their weight. ``state``: target to
+    (models that judge, cuts of the judging view, weights being fitted)."""
+    out = []
+    for judges, cuts, now in (state[name] for name in sorted(state)):
+        scores = [x.dot(m) for x, m in zip(views, judges)]
+        for k in (0, 1):
+            up, down = beyond(scores[1 - k], *cuts[k])
+            weight = 0.5 * (up | down)
+            out += [views[k].back((sigmoid(views[k].dot(now[k])) - up) * weight), [weight.sum()]]
+    return np.concatenate(out)
+
+
+def co_train_over(views: list[Sparse], y: dict, labelled: dict, held: dict, sums, rounds=ROUNDS, steps=100, rate=0.15, ridge=2e-5) -> dict:
+    """``co_train`` for all targets at once, over an unlabelled pool of any size:
+    ``sums`` gives the pool's ``pool_sums`` for a state. The labelled rows are here."""
+    names = [n for n in sorted(y) if min(y[n][labelled[n] & ~held[n]].sum(), (1 - y[n])[labelled[n] & ~held[n]].sum(),
+                                         y[n][held[n]].sum(), (1 - y[n])[held[n]].sum()) >= 1]
+    train = {n: (labelled[n] & ~held[n]).astype(float) for n in names}
+    models = {n: [fit_logistic(x, y[n].astype(float), train[n], steps=steps, rate=rate, ridge=ridge) for x in views] for n in names}
+    for _ in range(rounds if names else 0):
+        scores = {n: [x.dot(m) for x, m in zip(views, models[n])] for n in names}
+        cuts = {n: [pure_cuts(scores[n][1 - k][held[n]], y[n][held[n]]) for k in (0, 1)] for n in names}
+        now = {n: [m.copy() for m in models[n]] for n in names}
+        moments = {n: [(np.zeros(x.width), np.zeros(x.width)) for x in views] for n in names}
+        for t in range(1, steps // 3 + 1):
+            got = sums({n: (models[n], cuts[n], now[n]) for n in names})
+            at, after = 0, {n: [None, None] for n in names}
+            for n in names:
+                for k, x in enumerate(views):
+                    share = balance(train[n].sum(), got[at + x.width])
+                    total = max(train[n].sum() + share * got[at + x.width], 1e-9)
+                    w = now[n][k]
+                    penalty = np.full(x.width, ridge)
+                    penalty[-1] = 0
+                    g = (x.back((sigmoid(x.dot(w)) - y[n]) * train[n]) + share * got[at:at + x.width]) / total + penalty * w
+                    m, v = moments[n][k]
+                    m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+                    moments[n][k] = (m, v)
+                    after[n][k] = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
+                    at += x.width + 1
+            now = after
+        models = now
+    out = {}
+    for n in names:
+        scores = [x.dot(m) for x, m in zip(views, models[n])]
+        of = y[n][held[n]].astype(float)
+        cal = [calibrate(s[held[n]], of) for s in scores]
+        odds = [c[0] * s + c[1] for c, s in zip(cal, scores)]
+        out[n] = {"models": models[n], "calibration": cal, "mix": combine(odds[0][held[n]], odds[1][held[n]], of)}
+    return out
+
+
+def name_column(name: str | None, width: int) -> int:
+    """The column of a source or language; the last one, ``width``, is for null."""
+    return width if name is None else zlib.crc32(name.encode("utf-8", "surrogatepass")) % width
+
+
 class Classifier:
     """Both targets' models with the vocabulary and bins of the views."""
 
-    def __init__(self, vocab: list[bytes], cuts: list, sources: list, langs: list, targets: dict):
+    def __init__(self, vocab: list[bytes], cuts: list, targets: dict):
         self.vocab = {v: i for i, v in enumerate(vocab)}
         self.words = frozenset(vocab)
         self.cuts, self.targets = cuts, targets
-        self.source = {s: i for i, s in enumerate(sources)}
-        self.lang = {s: i for i, s in enumerate(langs)}
-        self.width = (len(vocab), _FIGURES * BINS + len(sources) + len(langs) + 2)
+        self.width = (len(vocab), _FIGURES * BINS + SOURCES + LANGS + 2)
 
     def text_row(self, found: set) -> list[int]:
         return sorted(self.vocab[f] for f in found & self.words)
@@ -202,8 +275,8 @@ class Classifier:
     def page_row(self, figures, source, lang) -> list[int]:
         row = [i * BINS + int(np.searchsorted(c, f, "right")) for i, (c, f) in enumerate(zip(self.cuts, figures))]
         base = _FIGURES * BINS
-        row.append(base + self.source.get(source, len(self.source)))
-        row.append(base + len(self.source) + 1 + self.lang.get(lang, len(self.lang)))
+        row.append(base + name_column(source, SOURCES))
+        row.append(base + SOURCES + 1 + name_column(lang, LANGS))
         return row
 
     def score(self, texts, sources, langs, n_chars) -> dict[str, np.ndarray]:
@@ -221,39 +294,30 @@ class Classifier:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_pool=MOST_POOL,
-        most_features=MOST_FEATURES, rounds=ROUNDS) -> Classifier:
-    """Co-train on a bounded sample; columns doc_id, text, lang, source, n_chars
-    and doc_id, quality, toxic."""
+def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_features=MOST_FEATURES, rounds=ROUNDS) -> Classifier:
+    """Co-train on a bounded number of labelled and all other documents; columns
+    doc_id, text, lang, source, n_chars and doc_id, quality, toxic."""
     spark = docs.sparkSession
     prepare(spark)
-    by_hash = lambda d, n: d.withColumn("o", F.xxhash64("doc_id", F.lit(7))).orderBy("o", "doc_id").limit(n).drop("o")
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         (1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
-    chosen = by_hash(known.filter("low is not null or toxic is not null"), most_labelled).withColumn("own", F.lit(True))
-    pool = by_hash(docs.select("doc_id").filter("doc_id is not null").distinct(), most_pool).select(
-        "doc_id", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("toxic"), F.lit(False).alias("own"))
-    ids = materialise(chosen.union(pool).groupBy("doc_id").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"),
-                                                               F.max("own").alias("own")), "quality-sample")
-    # at most most_labelled + most_pool ids
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids), "doc_id")
-    schema = ("doc_id string, low int, toxic int, own boolean, lang string, source string, found array<binary>, figures array<double>")
+    chosen = (known.filter("low is not null or toxic is not null").withColumn("o", F.xxhash64("doc_id", F.lit(7)))
+              .orderBy("o", "doc_id").limit(most_labelled).drop("o").withColumn("own", F.lit(True)))
+    ids = materialise(chosen, "quality-sample")
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars")
 
-    def run(batches):
+    def features(batches):
         from shelfcast.llm import quality as Q
         for b in batches:
-            c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            yield pa.RecordBatch.from_arrays([
-                pa.array([str(i) for i in c["doc_id"]]), pa.array(c["low"], pa.int32()), pa.array(c["toxic"], pa.int32()),
-                pa.array(c["own"], pa.bool_()), pa.array(c["lang"], pa.string()), pa.array(c["source"], pa.string()),
-                pa.array([sorted(Q.text_features(t)) for t in c["text"]], pa.list_(pa.binary())),
-                pa.array([Q.page_figures(t, n) for t, n in zip(c["text"], c["n_chars"])], pa.list_(pa.float64()))],
-                names=["doc_id", "low", "toxic", "own", "lang", "source", "found", "figures"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(
+                [sorted(Q.text_features(t)) for t in b.column(0).to_pylist()], pa.list_(pa.binary()))], names=["low", "toxic", "found"])
 
-    sample = materialise(rows.mapInArrow(run, schema), "quality-features")
+    # at most most_labelled ids
+    sample = wide.join(F.broadcast(ids), "doc_id").select("text", "low", "toxic")
+    sample = materialise(sample.mapInArrow(features, "low int, toxic int, found array<binary>"), "quality-features")
     # text features that tell the targets apart, counted by Spark over the labelled sample
-    e = sample.filter("own").select(F.explode("found").alias("f"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    n, n_low, n_toxic = sample.filter("own").agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    e = sample.select(F.explode("found").alias("f"), F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    n, n_low, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("low"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     g = e.groupBy("f").agg(F.count("*").alias("c"), F.sum("low").alias("a"), F.sum("toxic").alias("b")).filter(F.col("c") >= LEAST_DOCUMENTS)
 
     def z(hits, total):
@@ -263,36 +327,75 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_po
     top = lambda h, t: (g.withColumn("z", z(h, t)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f")
                         .limit(most_features // 2).select("f"))
     vocab = sorted({bytes(r.f) for r in top("a", n_low).union(top("b", n_toxic)).collect()})
+    discard(sample)
     words = spark.sparkContext.broadcast({v: i for i, v in enumerate(vocab)})
+    schema = "doc_id string, low int, toxic int, own boolean, lang string, source string, found array<int>, figures array<double>"
 
     def numbered(batches):
+        from shelfcast.llm import quality as Q
+        place = words.value
         for b in batches:
-            i = b.schema.get_field_index("found")
-            cols, place = list(b.columns), words.value
-            cols[i] = pa.array([sorted(place[f] for f in fs if f in place) for fs in b.column(i).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+            c = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            yield pa.RecordBatch.from_arrays([
+                pa.array([None if i is None else str(i) for i in c["doc_id"]], pa.string()), pa.array(c["low"], pa.int32()),
+                pa.array(c["toxic"], pa.int32()), pa.array(c["own"], pa.bool_()), pa.array(c["lang"], pa.string()), pa.array(c["source"], pa.string()),
+                pa.array([sorted(place[f] for f in Q.text_features(t) if f in place) for t in c["text"]], pa.list_(pa.int32())),
+                pa.array([Q.page_figures(t, n) for t, n in zip(c["text"], c["n_chars"])], pa.list_(pa.float64()))],
+                names=["doc_id", "low", "toxic", "own", "lang", "source", "found", "figures"])
+
+    rows = wide.join(F.broadcast(ids), "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    rows = materialise(rows.select("doc_id", "low", "toxic", "own", "lang", "source", "text", "n_chars").mapInArrow(numbered, schema), "quality-rows")
+    each = rows.select(*[F.element_at("figures", i + 1).alias(f"f{i}") for i in range(_FIGURES)])
+    cuts = [np.array(q or [0.0] * (BINS - 1)) for q in each.approxQuantile(each.columns, np.linspace(0, 1, BINS + 1)[1:-1].tolist(), 0.002)]
+    model = Classifier(vocab, cuts, {})
 
-    # on the driver: the sample's feature numbers and figures, column by column
-    got = sample.mapInArrow(numbered, schema.replace("array<binary>", "array<int>")).toArrow().sort_by("doc_id").combine_chunks()
+    def paged(batches):
+        for b in batches:
+            figures, source, lang = (b.column(i).to_pylist() for i in (2, 1, 0))
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array([model.page_row(f, x, g) for f, x, g in zip(figures, source, lang)],
+                                                                    pa.list_(pa.int32()))], names=["found", "page"])
+
+    pool = materialise(rows.filter("not own").select("lang", "source", "figures", "found").mapInArrow(paged, "found array<int>, page array<int>"),
+                       "quality-pool")
+    # on the driver: the labelled documents' feature numbers and figures, column by column
+    got = rows.filter("own").toArrow().sort_by("doc_id").combine_chunks()
+    discard(rows)
     column = lambda c: got.column(c).combine_chunks()
-    n_rows = got.num_rows
-    figures = np.asarray(column("figures").flatten().to_numpy()).reshape(n_rows, _FIGURES) if n_rows else np.zeros((1, _FIGURES))
-    cuts = [np.quantile(figures[:, i], np.linspace(0, 1, BINS + 1)[1:-1]) for i in range(_FIGURES)]
-    sources, langs = column("source").to_pylist(), column("lang").to_pylist()
-    model = Classifier(vocab, cuts, sorted({x for x in sources if x is not None})[:512], sorted({x for x in langs if x is not None})[:64], {})
+    figures = np.asarray(column("figures").flatten().to_numpy()).reshape(-1, _FIGURES)
     views = [Sparse.of_lists(column("found"), model.width[0]),
-             Sparse([model.page_row(f, x, g) for f, x, g in zip(figures, sources, langs)], model.width[1])]
-    own = np.array(column("own").to_pylist(), bool)
+             Sparse([model.page_row(f, x, g) for f, x, g in zip(figures, column("source").to_pylist(), column("lang").to_pylist())], model.width[1])]
+    y, labelled, held = {}, {}, {}
     for name in TARGETS:
         label = column(name).to_pylist()
-        labelled = own & np.array([v is not None for v in label], bool)
-        y = np.array([v or 0 for v in label], np.int64)
-        held = np.zeros(n_rows, bool)
-        held[np.flatnonzero(labelled)[::HOLD_OUT]] = True
-        model.targets[name] = co_train(views, labelled, y, held, ~own, rounds) if n_rows else None
+        labelled[name] = np.array([v is not None for v in label], bool)
+        y[name] = np.array([v or 0 for v in label], np.int64)
+        held[name] = np.zeros(len(label), bool)
+        held[name][np.flatnonzero(labelled[name])[::HOLD_OUT]] = True
+    model.targets = co_train_over(views, y, labelled, held, lambda state: over_pool(pool, model.width, state), rounds)
+    discard(pool)
     return model
 
 
+def over_pool(pool: DataFrame, width: tuple, state: dict) -> np.ndarray:
+    """``pool_sums`` over the rows (found, page) of a table."""
+    size = len(state) * (sum(width) + 4)
+
+    def run(batches):
+        from shelfcast.llm import quality as Q
+        out = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                out += Q.pool_sums([Q.Sparse.of_lists(b.column(i), w) for i, w in enumerate(width)], state)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "v"])
+
+    parts = pool.mapInArrow(run, "at bigint, v double")
+    if pool.rdd.getNumPartitions() > DIRECT:
+        parts = parts.groupBy("at").agg(F.sum("v").alias("v"))
+    got = parts.toArrow()
+    return np.bincount(got.column("at").to_numpy(), got.column("v").to_numpy(), size)
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """``docs`` with a struct ``quality_class``: p_low, p_toxic, rejected."""
     prepare(docs.sparkSession)

@@ -410,6 +410,40 @@ def test_classifier_views_exchange_labels():
     assert up.tolist() == [True, False, False] and down.tolist() == [False, True, False]
 
 
+def test_classifier_pool_is_every_unlabelled_document(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+
+    def sums(pool, width, state):
+        seen.append(pool.count())
+        return np.zeros(len(state) * (sum(width) + 4))
+
+    monkeypatch.setattr(quality, "over_pool", sums)
+    quality.fit(docs, labels, rounds=1)
+    few = labels.filter("quality is not null or toxic is not null").select("doc_id")
+    assert set(seen) == {docs.join(few, "doc_id", "left_anti").count()}
+    late = quality.Classifier([], [np.zeros(11)] * 9, {})
+    sources = [late.page_row([0.0] * 9, f"source-{i:05d}", None)[9] for i in range(600, 620)]
+    assert len(set(sources)) >= 18       # before, all beyond the first 512 were one column
+
+
+def test_classifier_over_a_table_equals_the_driver(spark):
+    r = np.random.default_rng(1)
+    common.prepare(spark)
+    y = r.integers(0, 2, 900)
+    rows = [[[int(k) if r.random() > noise else 1 - int(k), 2 + int(r.integers(0, 5))] for k in y] for noise in (0.05, 0.1)]
+    labelled = np.arange(900) < 200
+    held = labelled & (np.arange(900) % 5 == 0)
+    views = [quality.Sparse(v, 7) for v in rows]
+    want = quality.co_train(views, labelled, np.where(labelled, y, 0), held, ~labelled)
+    own = [quality.Sparse(v[:200], 7) for v in rows]
+    pool = spark.createDataFrame(list(zip(rows[0][200:], rows[1][200:])), "found array<int>, page array<int>").repartition(3)
+    got = quality.co_train_over(own, {"low": y[:200]}, {"low": labelled[:200]}, {"low": held[:200]},
+                                lambda state: quality.over_pool(pool, (7, 7), state))["low"]
+    for a, b in zip([*got["models"], got["mix"]], [*want["models"], want["mix"]]):
+        assert np.allclose(a, b, atol=1e-6)
+
+
 def test_classifier_edges(spark):
     rows = [(1, "good words here", "en", "s", 15), (2, None, None, None, None), (None, "", "en", "t", 0), (1, "x" * 30000, "de", "s", 30000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("p_low", F.lit(1))
