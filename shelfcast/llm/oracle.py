@@ -73,7 +73,60 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n
 JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
 
+#: crc32 over the bytes of a text: the reflected polynomial 0xEDB88320, eight steps a byte.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + strlen({0})), lambda k:
+    ('0x' || substr(hex(encode({0})), (2 * k - 1)::INT, 2))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+
+OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+') AS w FROM documents),
+r AS (SELECT run, n, {_CRC.format("key")} AS h FROM (SELECT run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS key
+      FROM (SELECT doc_id, unnest(w) AS run FROM d) GROUP BY doc_id, run)),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM r),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM t WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT word, n, substr(word, 1, (i - 1)::INT) || '*' || substr(word, (i + 1)::INT) AS k FROM c),
+x AS (SELECT DISTINCT word, n, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS k FROM c),
+i AS (SELECT x.word AS a, x.n AS na, v.word AS b, v.n AS nb FROM x JOIN v ON v.word = x.k),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS nb FROM g a JOIN g b USING (k) WHERE a.word <> b.word
+      UNION ALL SELECT a, b, nb FROM i UNION ALL SELECT b, a, na FROM i),
+m AS (SELECT a, count(*) AS n_near, max(nb) AS top, first(b ORDER BY nb DESC, b) AS b FROM p GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN b END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+      FROM v LEFT JOIN m ON a = word),
+z AS (SELECT word, word AS up, 0 AS step FROM f UNION ALL SELECT z.word, f.form, step + 1 FROM z JOIN f ON f.word = z.up WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(up, step) AS root FROM z GROUP BY word) USING (word)
+"""
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS la, b.vec_id, b.label, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = la
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> la AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS w FROM documents),
+o AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT win, min(doc_id) AS lo FROM o GROUP BY win HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, list(DISTINCT p) AS gone, FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM o JOIN f USING (win) WHERE doc_id > lo) GROUP BY doc_id),
+k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN h USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(array_to_string([w[j] FOR j IN range(1, len(w) + 1) IF NOT list_contains(gone, j)], ' ')) AS kept_sha256,
+       len(list_filter(gone, lambda j: NOT list_contains(gone, j - 1)))::BIGINT AS n_spans FROM k
+"""
+
 SQL = {
+    "op11_spelling": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_substring_dedup": OP13_SQL,
     "op3_jaccard_join": OP3_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_warc": OP4_SQL,

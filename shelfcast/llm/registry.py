@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from shelfcast.llm import bpe, decontaminate, jaccard, line_dedup, minhash, quality, secret_scan, shard, suffix_dedup, warc
+from shelfcast.llm import bpe, decontaminate, hard_negatives, jaccard, line_dedup, minhash, quality, secret_scan, shard, spelling, substring_dedup, suffix_dedup, warc
 from shelfcast.llm import oracle
 
 
@@ -19,6 +19,9 @@ def queries():
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_minhash": minhash.op9_minhash,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_substring_dedup": substring_dedup.op13_substring_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
