@@ -14,10 +14,11 @@ exploded row by row. So
   a task's output stays bounded as the data grows;
 * only the two smaller key sets pass through the driver, after their distinct
   counts were checked against ``max_inline``. Dates are bounded by the sampled
-  period (<= 366 for a year). If the second-largest set is also above the
-  bound the grid would exceed max_inline^2 x |dates| rows; that is refused with
-  an error instead of being attempted (the sparse statistics in
-  ``operators.stats`` need no grid at all).
+  period (<= 366 for a year). A set above the bound never reaches the driver: its
+  values are dealt by a hash to blocks of about ``max_inline`` values, every key
+  of the axis is paired with the block numbers, and a block's values come from an
+  equi-join on (block, salt); only pairs (key, block) move, never grid rows. The
+  facts carry the same block and salt, computed from their keys.
 
 The grid keeps the hash partitioning of its distributed axis, so the left join
 that aligns the facts, the dimension join on that key and per-item statistics
@@ -66,13 +67,44 @@ def plan_grid(counts: dict, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION
         axis = max(KEY, key=lambda k: counts[k])
     parts = min(parts, counts[axis]) or 1
     inline = [k for k in KEY if k != axis]
-    too_big = [k for k in inline if counts[k] > max_inline]
-    if too_big:
-        raise ValueError(
-            f"grid refused: keys {too_big} have {[counts[k] for k in too_big]} distinct values "
-            f"(> {max_inline}) besides {counts[axis]} values of {axis}; the product would exceed "
-            f"{max_inline}^2 x {min(counts[k] for k in KEY)} rows")
-    return {"axis": axis, "inline": inline, "rows": rows, "partitions": parts}
+    blocks = {k: math.ceil(counts[k] / max_inline) for k in inline if counts[k] > max_inline}
+    salts = max(1, math.ceil(parts / math.prod(blocks.values()))) if blocks else 1
+    return {"axis": axis, "inline": inline, "rows": rows, "partitions": parts, "blocks": blocks, "salts": salts}
+
+
+def _block(plan: dict, key: str):
+    """Number of the block a value of ``key`` is in."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(plan["blocks"][key])).cast("int")
+
+
+def _salt(plan: dict):
+    return F.pmod(F.xxhash64(F.lit("salt"), F.col(plan["axis"]).cast("string")), F.lit(plan["salts"])).cast("int")
+
+
+def placed(df: DataFrame, plan: dict) -> DataFrame:
+    """``df`` with the columns by which a grid of blocks is partitioned (none without blocks)."""
+    if not plan["blocks"]:
+        return df
+    return df.withColumns({f"_block_{k}": _block(plan, k) for k in plan["blocks"]} | {"_salt": _salt(plan)})
+
+
+def place_columns(plan: dict) -> list:
+    return [*[f"_block_{k}" for k in plan["blocks"]], "_salt"] if plan["blocks"] else []
+
+
+def _blocked(facts: DataFrame, plan: dict) -> DataFrame:
+    """The axis times every key set above the bound, by joins on (block, salt)."""
+    out = facts.select(plan["axis"]).distinct().withColumn("_salt", _salt(plan))
+    for k, n in plan["blocks"].items():
+        name = f"_block_{k}"
+        values = (facts.select(k).distinct().withColumn(name, _block(plan, k)).groupBy(name)
+                  .agg(F.collect_list(k).alias("_values")))
+        values = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(plan["salts"] - 1))))
+        out = out.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        if k == list(plan["blocks"])[-1]:
+            out = out.repartition(plan["partitions"], *place_columns(plan))
+        out = out.join(values, [name, "_salt"]).withColumn(k, F.explode("_values")).drop("_values")
+    return out
 
 
 def build_grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
@@ -85,16 +117,20 @@ def build_grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PART
     min_parts = facts.sparkSession.sparkContext.defaultParallelism
     plan = plan_grid(counts, rows_per_partition, max_inline, min_parts)
     axis = plan["axis"]
-    out = facts.select(axis).distinct().repartition(plan["partitions"], axis)
+    if plan["blocks"]:
+        out = _blocked(facts, plan)
+    else:
+        out = facts.select(axis).distinct().repartition(plan["partitions"], axis)
     for k in plan["inline"]:
-        out = out.withColumn(k, F.explode(_inline_values(facts, k)))
-    return out.select(*KEY), plan
+        if k not in plan["blocks"]:
+            out = out.withColumn(k, F.explode(_inline_values(facts, k)))
+    return out.select(*KEY, *place_columns(plan)), plan
 
 
 def grid(facts: DataFrame, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
          max_inline: int = DEFAULT_MAX_INLINE, counts: dict | None = None) -> DataFrame:
     """All (date, store_nbr, item_nbr) combinations of the observed keys."""
-    return build_grid(facts, rows_per_partition, max_inline, counts)[0]
+    return build_grid(facts, rows_per_partition, max_inline, counts)[0].select(*KEY)
 
 
 def zero_fill(facts: DataFrame, counts: dict | None = None, **grid_args) -> DataFrame:
@@ -106,5 +142,6 @@ def zero_fill(facts: DataFrame, counts: dict | None = None, **grid_args) -> Data
     number of rows) the planner keeps the grid where it is."""
     g, plan = build_grid(facts, counts=counts, **grid_args)
     cols = [c for c in facts.columns if c not in KEY]
-    f = facts.select(*KEY, *cols).repartition(plan["partitions"], plan["axis"])
-    return fill_missing(g.join(f.hint("shuffle_hash"), KEY, "left"))
+    place = place_columns(plan)
+    f = placed(facts.select(*KEY, *cols), plan).repartition(plan["partitions"], *(place or [plan["axis"]]))
+    return fill_missing(g.join(f.hint("shuffle_hash"), [*KEY, *place], "left").select(*KEY, *cols))

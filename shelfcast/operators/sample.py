@@ -43,6 +43,28 @@ def profile(df: DataFrame, label: str | None = None) -> DataFrame:
     return out
 
 
+SKETCH_LG_K = 12     # HyperLogLog sketches of 2^12 entries: a relative standard error of about 1.6 %
+
+
+def key_sketches(df: DataFrame, by: str = "month") -> DataFrame:
+    """Per value of ``by``: rows and a mergeable sketch of the distinct dates, stores and
+    items, for profiles that are kept with the data and merged without reading it again."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("rows"),
+                              *[F.hll_sketch_agg(k, SKETCH_LG_K).alias(f"{k}_sketch") for k in ("day", "store_nbr", "item_nbr")])
+
+
+def with_day(df: DataFrame) -> DataFrame:
+    """``df`` with its date as a day number, which sketches can hold."""
+    return df.withColumn("day", F.unix_date("date"))
+
+
+def merged_profile(sketches: DataFrame, by: list | tuple = ()) -> DataFrame:
+    """rows, dates, stores, items of the merged sketches, per ``by`` or in all."""
+    est = [F.hll_sketch_estimate(F.hll_union_agg(f"{k}_sketch")).alias(n)
+           for k, n in (("day", "dates"), ("store_nbr", "stores"), ("item_nbr", "items"))]
+    return sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), *est)
+
+
 def duplicate_keys(df: DataFrame, key=KEY) -> DataFrame:
     """Keys that occur more than once (the panel requires a unique key)."""
     return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))

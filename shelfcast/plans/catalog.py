@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.calendar import day_name
 from shelfcast.functions.numeric import denormalise, round6
-from shelfcast.operators import encode, evaluate, grid as G, report, sample, split, stats
+from shelfcast.operators import encode, evaluate, gbt, grid as G, mlp, report, sample, split, stats
 from shelfcast.operators.enrich import enrich_dims
 from shelfcast.plans import prepare
 from shelfcast.schema import CATEGORICAL, KEY, UNUSED_COLUMNS
@@ -330,13 +330,8 @@ def early_stop(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- J: models
-# Registered queries use small model settings so the whole catalogue runs in
-# minutes at sf0.01; the library defaults (gbt.DEFAULTS, mlp.DEFAULTS) are the
-# workload's full settings and bench.py runs larger ones.
-HARNESS_TREES = {"max_iter": 10, "max_depth": 5, "min_instances": 250, "step_size": 0.1, "patience": 10}
-HARNESS_TREE_CV = {"max_iter": 3, "max_depth": 3, "patience": 10}
-HARNESS_MLP = {"epochs": 3, "layers": (256, 128), "dropout": 0.2, "batch_size": 1024, "patience": 5}
-HARNESS_MLP_CV = {"epochs": 1}
+# Registered queries run the workload's own settings (gbt.DEFAULTS, mlp.DEFAULTS).
+DAY_EPOCHS = 10     # epochs of the weekday perceptrons, as in the workload
 
 _FRAMES: dict = {}
 _RUNS: dict = {}
@@ -357,14 +352,14 @@ def _run(spark, sf_dir, what: str):
     k = (id(spark), sf_dir, what)
     if k not in _RUNS:
         if what == "gbt":
-            _RUNS[k] = T.trees(_frames(spark, sf_dir, "tree"), "gbt", **HARNESS_TREES)
+            _RUNS[k] = T.trees(_frames(spark, sf_dir, "tree"), "gbt", **gbt.DEFAULTS)
         elif what == "gbt_day":
-            _RUNS[k] = T.trees_per_day(_frames(spark, sf_dir, "tree"), "gbt", **HARNESS_TREES)
+            _RUNS[k] = T.trees_per_day(_frames(spark, sf_dir, "tree"), "gbt", **gbt.DEFAULTS)
         elif what == "mlp":
-            _RUNS[k] = T.mlp_run(_frames(spark, sf_dir, "mlp"), "mlp_256_128", **HARNESS_MLP)
+            _RUNS[k] = T.mlp_run(_frames(spark, sf_dir, "mlp"), "mlp_256_128", **mlp.DEFAULTS)
         elif what == "mlp_day":
             _RUNS[k] = T.mlp_per_day(_frames(spark, sf_dir, "mlp"), "mlp_256_128",
-                                     **{**HARNESS_MLP, "epochs": 2})
+                                     **{**mlp.DEFAULTS, "epochs": DAY_EPOCHS})
     return _RUNS[k]
 
 
@@ -389,7 +384,7 @@ def history_wide(spark, sf_dir):
 
 def gbt_early_stop(spark, sf_dir):
     h = _run(spark, sf_dir, "gbt").history.filter(F.col("dataset") == "valid")
-    return evaluate.early_stop(h, HARNESS_TREES["patience"])
+    return evaluate.early_stop(h, gbt.DEFAULTS["patience"])
 
 
 def gbt_importance(spark, sf_dir):
@@ -411,10 +406,7 @@ def gbt_by_day_importance(spark, sf_dir):
 
 def gbt_grid_cv(spark, sf_dir):
     from shelfcast.plans import tune
-    p = dict(HARNESS_TREE_CV)
-    patience = p.pop("patience")
-    curves = tune.tree_cv_curves(_frames(spark, sf_dir, "tree"), k=5, **p)
-    return tune.tree_cv_summary(curves, patience)
+    return tune.tree_cv_summary(tune.tree_cv_curves(_frames(spark, sf_dir, "tree")))
 
 
 def mlp_forecast(spark, sf_dir):
@@ -436,7 +428,7 @@ def mlp_by_day(spark, sf_dir):
 
 def mlp_layout_cv(spark, sf_dir):
     from shelfcast.plans import tune
-    rows = tune.mlp_layout_cv(_frames(spark, sf_dir, "mlp"), k=5, **HARNESS_MLP_CV)
+    rows = tune.mlp_layout_cv(_frames(spark, sf_dir, "mlp"))
     return tune.mlp_cv_summary(rows)
 
 

@@ -1,6 +1,7 @@
 """Command-line jobs, one per step of the workload, reading and writing files.
 
     python -m shelfcast.plans.jobs prepare       --sf-dir DIR --out OUT
+    python -m shelfcast.plans.jobs prepare       --sales-csv F --stores-csv F --items-csv F --out OUT
     python -m shelfcast.plans.jobs train-trees   --sf-dir DIR --out OUT [--per-day]
     python -m shelfcast.plans.jobs train-mlp     --sf-dir DIR --out OUT [--per-day]
     python -m shelfcast.plans.jobs tune-trees    --sf-dir DIR --out OUT
@@ -21,7 +22,7 @@ import argparse
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.operators import evaluate, gbt, mlp, report
+from shelfcast.operators import boost, evaluate, gbt, mlp, report
 from shelfcast.plans import prepare, train, tune
 from shelfcast.session import build_session, checkpoint_dir
 from shelfcast.sources import files
@@ -30,19 +31,50 @@ TRAIN_NAME = "perishable_zerofilled"
 TEST_NAME = "perishable_test"
 
 
-def job_prepare(spark, sf_dir: str, out: str) -> dict:
-    ds = prepare.load(spark, sf_dir)
+def job_prepare(spark, sf_dir: str | None, out: str, sales_csv: str | None = None, stores_csv: str | None = None,
+                items_csv: str | None = None, **periods) -> dict:
+    """Prepare and save the training and test sets, from the star schema of ``sf_dir`` or
+    from CSV files (lines that don't parse go to ``results/rejects``).
+
+    The key check is part of the write: the zero-filled set has as many rows as the
+    grid, which is known, unless a key of the facts is repeated; the rows are observed
+    while they are written. A repeated key is an error, and nothing is published then
+    but the rejects. Sketches of the distinct keys per month are saved with the data."""
+    from pyspark.sql import Observation
+    rejected = None
+    if sales_csv:
+        sales, rejects = files.checked_sales(spark, sales_csv)
+        rejected = files.save_rejects(rejects, f"{out}/results/rejects")
+        stores, items = files.read_stores_csv(spark, stores_csv), files.read_items_csv(spark, items_csv)
+        files.save_dataset(stores, f"{out}/data", "stores", None)
+        files.save_dataset(items, f"{out}/data", "items", None)
+        ds = prepare.build_dataset(sales, stores, items, **periods)
+    else:
+        ds = prepare.load(spark, sf_dir, **periods)
+    seen = Observation("train")
+    panel = prepare.sample.with_day(prepare.train_panel(ds.facts, ds.counts)).withColumn("month", F.month("date"))
+    sketches = prepare.sample.key_sketches(panel.observe(seen, F.count(F.lit(1)).alias("rows")))
+    sketches.write.mode("overwrite").parquet(f"{out}/results/sketches")
+    grid_rows = ds.counts["date"] * ds.counts["store_nbr"] * ds.counts["item_nbr"]
+    rows = int(seen.get["rows"])
+    if rows != grid_rows:
+        raise ValueError(f"repeated keys: {rows} rows on a grid of {grid_rows}")
     files.save_dataset(ds.train, f"{out}/data", TRAIN_NAME)
     files.save_dataset(ds.test, f"{out}/data", TEST_NAME)
     prof = prepare.sample.profile(ds.facts, "sampled").unionByName(
         prepare.sample.profile(files.load_dataset(spark, f"{out}/data", TRAIN_NAME), "zero_filled"))
     prof.write.mode("overwrite").option("header", True).csv(f"{out}/results/profile")
-    return {"counts": ds.counts}
+    return {"counts": ds.counts, "rejected": rejected}
 
 
 def _saved_dataset(spark, sf_dir: str, out: str) -> prepare.Dataset:
-    """The prepared dataset from the ``prepare`` job's files (dimensions from sf_dir)."""
+    """The prepared dataset from the ``prepare`` job's files (dimensions from sf_dir, or
+    without one from the copies that ``prepare`` made of the CSV files)."""
     from shelfcast.sources import star
+    if not sf_dir:
+        return prepare.Dataset(files.load_dataset(spark, f"{out}/data", TRAIN_NAME), files.load_dataset(spark, f"{out}/data", TEST_NAME),
+                               facts=None, counts={}, stores=files.load_dataset(spark, f"{out}/data", "stores"),
+                               items=files.load_dataset(spark, f"{out}/data", "items"))
     ds = prepare.Dataset(files.load_dataset(spark, f"{out}/data", TRAIN_NAME),
                          files.load_dataset(spark, f"{out}/data", TEST_NAME),
                          facts=None, counts={}, stores=star.stores(spark, sf_dir), items=star.items(spark, sf_dir))
@@ -75,8 +107,7 @@ def job_train_trees(spark, sf_dir: str, out: str, per_day: bool = False, **param
     run = train.run_name(TRAIN_NAME, "gbt", lr=p["step_size"], depth=p["max_depth"])
     res = train.trees_per_day(mf, run, **p) if per_day else train.trees(mf, run, **p)
     _write_run(res, out, per_day)
-    if not per_day:
-        res.fits.model.write().overwrite().save(f"{out}/models/{run}")
+    boost.save(res.fits if per_day else {-1: res.fits}, f"{out}/models/{run}{'_per_day' if per_day else ''}")
     return res
 
 
@@ -89,7 +120,9 @@ def job_train_mlp(spark, sf_dir: str, out: str, per_day: bool = False, **params)
     run = train.run_name(TRAIN_NAME, "mlp", layers="_".join(map(str, p["layers"])))
     res = train.mlp_per_day(mf, run, **p) if per_day else train.mlp_run(mf, run, **p)
     _write_run(res, out, per_day)
-    if not per_day:
+    if per_day:
+        mlp.save_segments(res.fits, f"{out}/models/{run}_per_day")
+    else:
         mlp.save(res.fits, f"{out}/models/{run}")
     return res
 
@@ -100,7 +133,7 @@ def job_tune_trees(spark, sf_dir: str, out: str, **params) -> DataFrame:
     mf = prepare.tree_frames(ds, item_stats=st)
     mf.train = mf.train.persist()
     patience = params.pop("patience", gbt.DEFAULTS["patience"])
-    curves = tune.tree_cv_curves(mf, **params).persist()
+    curves = tune.tree_cv_curves(mf, patience=patience, **params).persist()
     tune.cv_curve(curves).write.mode("overwrite").option("header", True).csv(f"{out}/results/cv/trees_curve")
     summary = tune.tree_cv_summary(curves, patience)
     summary.write.mode("overwrite").option("header", True).csv(f"{out}/results/cv/trees")
@@ -131,7 +164,12 @@ def job_charts(spark, sf_dir: str, out: str) -> None:
 def main(argv=None):
     ap = argparse.ArgumentParser(prog="shelfcast.plans.jobs")
     ap.add_argument("job", choices=["prepare", "train-trees", "train-mlp", "tune-trees", "tune-mlp", "charts"])
-    ap.add_argument("--sf-dir", required=True)
+    ap.add_argument("--sf-dir")
+    ap.add_argument("--sales-csv")
+    ap.add_argument("--stores-csv")
+    ap.add_argument("--items-csv")
+    ap.add_argument("--train-period", nargs=2, metavar=("FROM", "TO"))
+    ap.add_argument("--test-period", nargs=2, metavar=("FROM", "TO"))
     ap.add_argument("--out", required=True)
     ap.add_argument("--per-day", action="store_true")
     ap.add_argument("--master", default=None)
@@ -143,7 +181,8 @@ def main(argv=None):
     checkpoint_dir(spark)
     extra = {k: v for k, v in {"max_iter": a.max_iter, "max_depth": a.max_depth}.items() if v is not None}
     if a.job == "prepare":
-        print(job_prepare(spark, a.sf_dir, a.out))
+        periods = {k: tuple(v) for k, v in {"train_period": a.train_period, "test_period": a.test_period}.items() if v}
+        print(job_prepare(spark, a.sf_dir, a.out, a.sales_csv, a.stores_csv, a.items_csv, **periods))
     elif a.job == "train-trees":
         job_train_trees(spark, a.sf_dir, a.out, a.per_day, **extra)
     elif a.job == "train-mlp":

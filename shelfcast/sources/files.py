@@ -21,19 +21,59 @@ _SALES_CSV = T.StructType([T.StructField("id", T.LongType(), True)] + [
     T.StructField(f.name, f.dataType, True) for f in SALES.fields])
 
 
+CORRUPT = "_corrupt"
+
+
+def read_checked_csv(spark: SparkSession, path: str, schema: T.StructType, required=()) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejects) of a CSV with a header. A line that does not parse under
+    ``schema`` (wrong number of fields, a value of the wrong type) or lacks a required
+    value is a reject: file, reason, line. Every column is parsed whatever is selected
+    later, so the split does not depend on the query."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    raw = (spark.read.schema(full).option("header", True).option("dateFormat", "yyyy-MM-dd").option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    names = [f.name for f in schema.fields]
+    missing = F.lit(None).cast("string")
+    for c in reversed(list(required)):
+        missing = F.when(F.col(c).isNull(), F.lit(f"no {c}")).otherwise(missing)
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")).otherwise(missing)
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
+    marked = raw.withColumns({"_reason": reason, "_line": line, "_file": F.input_file_name()})
+    marked = marked.filter(F.length("_line") >= 0)       # always true, but needs every column parsed
+    good = marked.filter(F.col("_reason").isNull()).select(*names)
+    return good, marked.filter(F.col("_reason").isNotNull()).select(
+        F.col("_file").alias("file"), F.col("_reason").alias("reason"), F.col("_line").alias("line"))
+
+
+def save_rejects(rejects: DataFrame, path: str) -> dict:
+    """Write the rejects; number of lines by reason, observed in the same pass."""
+    from pyspark.sql import Observation
+    seen = Observation("rejects")
+    all_ = F.count(F.lit(1)).alias("all")
+    bad = F.count(F.when(F.col("reason") == "malformed", 1)).alias("malformed")
+    rejects.observe(seen, all_, bad).write.mode("overwrite").parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def checked_sales(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sales rows and rejects; the key must be there, units and promotion may be missing."""
+    good, rejects = read_checked_csv(spark, path, _SALES_CSV, ("date", "store_nbr", "item_nbr"))
+    return good.select(*[f.name for f in SALES.fields]), rejects
+
+
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     """Columns 1-5 of the sales CSV (date, store_nbr, item_nbr, unit_sales,
-    onpromotion); onpromotion stays nullable, date is a DATE."""
-    return (spark.read.schema(_SALES_CSV).option("header", True).option("dateFormat", "yyyy-MM-dd")
-            .csv(path).select(*[f.name for f in SALES.fields]))
+    onpromotion); onpromotion stays nullable, date is a DATE. Lines that don't parse
+    are left out (``checked_sales`` has them)."""
+    return checked_sales(spark, path)[0]
 
 
 def read_stores_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORES).option("header", True).csv(path)
+    return read_checked_csv(spark, path, STORES, ("store_nbr",))[0]
 
 
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ITEMS).option("header", True).csv(path)
+    return read_checked_csv(spark, path, ITEMS, ("item_nbr",))[0]
 
 
 def dataset_path(root: str, name: str) -> str:
@@ -54,8 +94,11 @@ def load_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def append_metrics(df: DataFrame, path: str) -> None:
-    """Append (run, metric, value) rows; the folder accumulates across runs."""
-    df.select("run", "metric", "value").write.mode("append").parquet(path)
+    """Add (run, metric, value) rows to a folder with one partition per run. A run's
+    partition is staged and replaced as a whole, so a repeated job leaves one row per
+    run and metric, and other runs stay."""
+    (df.select("run", "metric", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run").parquet(path))
 
 
 def history_wide(history: DataFrame) -> DataFrame:
