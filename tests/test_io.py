@@ -44,7 +44,8 @@ def test_dataset_round_trip(spark, tmp_dir):
 def test_metrics_append_and_history(spark, tmp_dir):
     m = spark.createDataFrame([("r1", "rmse", 1.0)], "run string, metric string, value double")
     files.append_metrics(m, tmp_dir + "/metrics")
-    files.append_metrics(m, tmp_dir + "/metrics")
+    files.append_metrics(m, tmp_dir + "/metrics")        # a retried run replaces its rows
+    files.append_metrics(m.withColumn("run", F.lit("r2")), tmp_dir + "/metrics")
     assert spark.read.parquet(tmp_dir + "/metrics").count() == 2
     h = spark.createDataFrame([("r", 1, "training", 2.0), ("r", 1, "valid", 3.0), ("r", 2, "training", 1.5)],
                               "run string, iteration int, dataset string, rmse double")
