@@ -67,9 +67,9 @@ def test_grid_fill(spark):
     assert all(r.unit_sales is not None and r.onpromotion is not None for r in rows)
 
 
-def test_grid_refuses_oversized(spark):
-    with pytest.raises(ValueError):
-        G.plan_grid({"date": 10, "store_nbr": 500, "item_nbr": 1000}, max_inline=100)
+def test_oversized_key_sets_become_blocks(spark):
+    assert G.plan_grid({"date": 10, "store_nbr": 500, "item_nbr": 1000}, max_inline=100)["blocks"] == {"store_nbr": 5}
+    assert G.plan_grid({"date": 10, "store_nbr": 500, "item_nbr": 1000})["blocks"] == {}
 
 
 def test_duplicate_keys_raise(spark):
