@@ -35,6 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.llm.common import _SPACE, _powers, U64, discard, materialise, mix64, prepare, table
 
@@ -228,26 +229,32 @@ def repeated_windows(docs: DataFrame, id_col="doc_id", text_col="text", length=L
     return out
 
 
-def _cut(length):
-    def run(text: pa.Array, starts: pa.Array) -> pa.Array:
-        out = []
-        for raw, s in zip(_binary(text), starts):
-            words = raw.split() if raw else []
-            spans = []
-            if s.is_valid and len(s.values):
-                x = np.sort(s.values.to_numpy())
-                new = np.append(True, x[1:] > x[:-1] + length)
-                at = np.flatnonzero(new)
-                spans = list(zip(x[at].tolist(), (x[np.append(at[1:], len(x)) - 1] + length).tolist()))
-            kept, last = [], 0
-            for a, z in spans:
-                kept += words[last:a]
-                last = z
-            kept += words[last:]
-            out.append({"n_words": len(words), "n_removed": len(words) - len(kept), "spans": [{"first": a, "end": z} for a, z in spans],
-                        "text": None if raw is None else b" ".join(kept).decode("utf-8", "replace")})
-        return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()),
-                                        ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("text", pa.string())]))
+_RESULT = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()),
+                     ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("text", pa.string())])
+
+
+def _cut(at, length):
+    """Puts the result in the place of the last column, the starts; column ``at`` is the text."""
+    def one(raw, s):
+        words = raw.split() if raw else []
+        spans = []
+        if s.is_valid and len(s.values):
+            x = np.sort(s.values.to_numpy())
+            new = np.append(True, x[1:] > x[:-1] + length)
+            first = np.flatnonzero(new)
+            spans = list(zip(x[first].tolist(), (x[np.append(first[1:], len(x)) - 1] + length).tolist()))
+        kept, last = [], 0
+        for a, z in spans:
+            kept += words[last:a]
+            last = z
+        kept += words[last:]
+        return {"n_words": len(words), "n_removed": len(words) - len(kept), "spans": [{"first": a, "end": z} for a, z in spans],
+                "text": None if raw is None else b" ".join(kept).decode("utf-8", "replace")}
+
+    def run(batches):
+        for b in batches:
+            out = pa.array([one(raw, s) for raw, s in zip(_binary(b.column(at)), b.columns[-1])], _RESULT)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], b.schema.names)
     return run
 
 
@@ -262,10 +269,15 @@ def dedup_substrings(docs: DataFrame, id_col="doc_id", text_col="text", length=L
     """``docs`` with a struct column ``substring_dedup``: n_words, n_removed, spans (word
     numbers, end exclusive, maximal), text (kept words joined by one space)."""
     hits = repeated_windows(docs, id_col, text_col, length, seed)
-    cut = F.arrow_udf(_cut(length), "n_words long, n_removed long, spans array<struct<first:long,end:long>>, text string")
     d, h = docs.alias("d"), hits.alias("h")
     on = (F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(NO_ID)) == F.col("h.id")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("h.th"))
-    return d.join(h, on, "left").select("d.*", cut(F.col(f"d.{text_col}"), F.col("h.starts")).alias(free_name(docs, "substring_dedup")))
+    name = free_name(docs, "substring_dedup")
+    result = T.StructField(name, T.StructType([
+        T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField("text", T.StringType())]))
+    return (d.join(h, on, "left").select("d.*", F.col("h.starts").alias(name))
+            .mapInArrow(_cut(docs.columns.index(text_col), length), T.StructType([*docs.schema.fields, result])))
 
 
 def op13_substring_dedup(spark, sf_dir):
