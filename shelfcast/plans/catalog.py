@@ -332,6 +332,10 @@ def early_stop(spark, sf_dir):
 # ---------------------------------------------------------------- J: models
 # Registered queries run the workload's own settings (gbt.DEFAULTS, mlp.DEFAULTS).
 DAY_EPOCHS = 10     # epochs of the weekday perceptrons, as in the workload
+# The two searches run all their models and the full depth, but fewer rounds and epochs
+# than the jobs' defaults (100 and 25): README, "Model settings", has the times.
+SEARCH_ROUNDS = 12
+SEARCH_EPOCHS = 5
 
 _FRAMES: dict = {}
 _RUNS: dict = {}
@@ -406,7 +410,7 @@ def gbt_by_day_importance(spark, sf_dir):
 
 def gbt_grid_cv(spark, sf_dir):
     from shelfcast.plans import tune
-    return tune.tree_cv_summary(tune.tree_cv_curves(_frames(spark, sf_dir, "tree")))
+    return tune.tree_cv_summary(tune.tree_cv_curves(_frames(spark, sf_dir, "tree"), max_iter=SEARCH_ROUNDS))
 
 
 def mlp_forecast(spark, sf_dir):
@@ -428,7 +432,7 @@ def mlp_by_day(spark, sf_dir):
 
 def mlp_layout_cv(spark, sf_dir):
     from shelfcast.plans import tune
-    rows = tune.mlp_layout_cv(_frames(spark, sf_dir, "mlp"))
+    rows = tune.mlp_layout_cv(_frames(spark, sf_dir, "mlp"), epochs=SEARCH_EPOCHS)
     return tune.mlp_cv_summary(rows)
 
 
