@@ -334,7 +334,7 @@ def early_stop(spark, sf_dir):
 DAY_EPOCHS = 10     # epochs of the weekday perceptrons, as in the workload
 # The two searches run all their models and the full depth, but fewer rounds and epochs
 # than the jobs' defaults (100 and 25): README, "Model settings", has the times.
-SEARCH_ROUNDS = 12
+SEARCH_ROUNDS = 6
 SEARCH_EPOCHS = 5
 
 _FRAMES: dict = {}
