@@ -112,6 +112,37 @@ def test_jaccard_lists_split_over_rounds(spark):
     assert {tuple(sorted((r.a, r.b))) for r in got.collect()} == {(1, 2)}
 
 
+@pytest.mark.parametrize("percent, common_passage", [(90, 1), (80, 1), (90, 150)])
+def test_jaccard_long_list_of_far_members(spark, percent, common_passage):
+    """5,000 sets in the same lists, far from one another but for 20 pairs: no list is compared pair by pair."""
+    r = np.random.default_rng(8)
+    passage = r.integers(1, 2 ** 62, common_passage).astype(np.uint64)
+    sets = {k: np.unique(np.append(r.integers(1, 2 ** 62, 60).astype(np.uint64), passage)) for k in range(5000)}
+    for k in range(20):
+        sets[5000 + k] = np.unique(np.append(sets[k], r.integers(1, 2 ** 62, 2).astype(np.uint64)))
+    common.prepare(spark)
+    values = list(sets.values())
+    s = spark.createDataFrame([(i, len(h), w, z, bytearray(h.tobytes())) for (i, h), w, z in zip(
+        sets.items(), jaccard.sketches(values).to_pylist(), jaccard.wide_sketches(values).to_pylist())],
+        "sid long, n int, sketch array<long>, wide binary, hashes binary")
+    d = spark.createDataFrame([(int(t), i, 1) for t in passage.astype(np.int64)[:3] for i in sets], "token long, sid long, rare int")
+    order = ("none", spark.sparkContext.broadcast(np.zeros(0, np.uint64)))
+    got = jaccard.list_links(jaccard.shared_lists(d), s.select("sid", "n", "sketch", "wide"), lambda wanted: s, order, [], percent=percent)
+    assert {tuple(sorted((x.a, x.b))) for x in got.collect()} == {(k, 5000 + k) for k in range(20)}
+
+
+def test_wide_sketches_bound_the_difference():
+    r = np.random.default_rng(6)
+    for size, drop, add in ((1100, 10, 0), (1500, 40, 60), (2040, 0, 30), (9000, 300, 500)):
+        x = np.unique(r.integers(1, 2 ** 62, size).astype(np.uint64))
+        y = np.unique(np.append(x[drop:], r.integers(1, 2 ** 62, add).astype(np.uint64)))
+        z = np.unique(r.integers(1, 2 ** 62, size).astype(np.uint64))
+        a, b, c = jaccard.wide_sketches([x, y, z]).to_pylist()
+        assert jaccard.wide_difference(a, b) <= len(np.setxor1d(x, y))
+        assert jaccard.wide_difference(a, c) > (len(x) + len(z)) / 9 and jaccard.wide_difference(a, a) == 0
+    assert jaccard.wide_sketches([x[:5]]).to_pylist() == [None]
+
+
 def test_jaccard_pivot_at_the_limit_settles():
     # distance 3/10 from the pivot: what the rounds leave out has to be listed here
     x, p = (np.array(v, np.uint64) for v in (range(9), [*range(2, 9), 10]))
