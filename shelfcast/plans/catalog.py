@@ -23,10 +23,15 @@ from shelfcast.sources import star
 _DS_CACHE: dict = {}
 
 
+def _app(spark: SparkSession) -> str:
+    # part of the caches' keys: frames of a stopped application are not taken up again
+    return spark.sparkContext.applicationId
+
+
 def _ds(spark: SparkSession, sf_dir: str) -> prepare.Dataset:
     """The prepared dataset for this session and folder (built once: its key
     counts and key lists are small jobs that every grid query would repeat)."""
-    k = (id(spark), sf_dir)
+    k = (_app(spark), sf_dir)
     if k not in _DS_CACHE:
         _DS_CACHE[k] = prepare.load(spark, sf_dir)
     return _DS_CACHE[k]
@@ -119,29 +124,37 @@ def item_stats_sparse(spark, sf_dir):
 
 
 def sales_by_family(spark, sf_dir):
-    return report.sales_by_family(_ds(spark, sf_dir).train)
+    ds = _ds(spark, sf_dir)
+    st, it = _dims(spark, sf_dir)
+    return report.sales_by_family_sparse(ds.facts, st, it, prepare.matched_stores(ds, st))
+
+
+def _family_means(spark, sf_dir, by):
+    # from the observed facts and the panel's row counts: equal to the mean over the grid
+    ds = _ds(spark, sf_dir)
+    st, it = _dims(spark, sf_dir)
+    return report.mean_by_family_sparse(ds.facts, st, it, by, prepare.matched_stores(ds, st))
 
 
 def month_by_family(spark, sf_dir):
-    return report.mean_by_family(_ds(spark, sf_dir).train, "month")
+    return _family_means(spark, sf_dir, "month")
 
 
 def dow_by_family(spark, sf_dir):
-    return report.mean_by_family(_ds(spark, sf_dir).train, "day_of_week")
+    return _family_means(spark, sf_dir, "day_of_week")
 
 
-def _families(ds):
-    return encode.vocabulary(ds.train, "family")
+def _family_pivot(spark, sf_dir, by):
+    families = report.families_sparse(_ds(spark, sf_dir).facts, star.items(spark, sf_dir))
+    return report.pivot_means(_family_means(spark, sf_dir, by), by, families)
 
 
 def month_family_pivot(spark, sf_dir):
-    ds = _ds(spark, sf_dir)
-    return report.pivot_by_family(ds.train, "month", _families(ds))
+    return _family_pivot(spark, sf_dir, "month")
 
 
 def dow_family_pivot(spark, sf_dir):
-    ds = _ds(spark, sf_dir)
-    return report.pivot_by_family(ds.train, "day_of_week", _families(ds))
+    return _family_pivot(spark, sf_dir, "day_of_week")
 
 
 # ---------------------------------------------------------------- H3/C2: normalisation
@@ -152,7 +165,7 @@ _NORM_CACHE: dict = {}
 def _normalised(spark, sf_dir):
     """Normalised train/test frames, persisted once per session and folder: the
     models, per-day fits and metric queries all start from them (prepare once)."""
-    k = (id(spark), sf_dir)
+    k = (_app(spark), sf_dir)
     if k not in _NORM_CACHE:
         tr, te, st = prepare.normalised(_ds(spark, sf_dir))
         _NORM_CACHE[k] = (tr.persist(StorageLevel.MEMORY_AND_DISK),
@@ -222,10 +235,8 @@ def segment_day(spark, sf_dir):
 # ---------------------------------------------------------------- D7-D10: evaluation with a
 # non-learned predictor (training-split mean of the z-scored units per item and weekday)
 
-def _baseline_scored(spark, sf_dir, day: int | None = None) -> DataFrame:
+def _baseline_scored(spark, sf_dir) -> DataFrame:
     tr, te, st = _normalised(spark, sf_dir)
-    if day is not None:
-        tr, te = tr.filter(F.col("day_of_week") == day), te.filter(F.col("day_of_week") == day)
     fit_rows = split.with_split(tr).filter(F.col("is_train"))
     model = fit_rows.groupBy("item_nbr", "day_of_week").agg(F.avg("unit_sales").alias("prediction"))
     return (te.join(model, ["item_nbr", "day_of_week"], "left")
@@ -242,11 +253,9 @@ def metrics_rollup(spark, sf_dir):
 
 
 def union_days(spark, sf_dir):
-    # one model per weekday, fitted on that day's rows only, predictions stacked
-    days = [_baseline_scored(spark, sf_dir, d) for d in range(7)]
-    out = days[0]
-    for d in days[1:]:
-        out = out.unionByName(d)
+    # one model per weekday: the weekday is part of the models' key, so all seven are
+    # fitted and scored in one pass, and their predictions are stacked as they come
+    out = _baseline_scored(spark, sf_dir)
     return out.select(*KEY, "day_of_week", round6(F.col("y")).alias("y"),
                       round6(F.col("prediction")).alias("prediction"))
 
@@ -321,6 +330,57 @@ def _month_curve(spark, sf_dir) -> DataFrame:
 CURVE_PATIENCE = 3
 
 
+def _fold_curves(spark, sf_dir, k: int = 5) -> DataFrame:
+    """setting, fold, iteration, rmse of two non-learned predictors (means per item,
+    and per item and weekday): at iteration m a fold's predictor is fitted on the other
+    folds' rows of months <= m and scored on all rows of the fold.
+
+    One pass over the rows gives (n, sum y, sum y^2) per (item, weekday, month, fold);
+    what follows are tables of at most items x 7 x 12 x folds rows."""
+    tr, _, _ = _normalised(spark, sf_dir)
+    rows = split.assign_fold(tr.select(*KEY, "month", "day_of_week", "unit_sales"), k)
+    sums = (rows.groupBy("item_nbr", "day_of_week", "month", "fold")
+            .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("unit_sales").alias("s"),
+                 F.sum(F.col("unit_sales") * F.col("unit_sales")).alias("ss"))).persist()
+    out = None
+    for setting, keys in (("item_mean", ["item_nbr"]), ("item_weekday_mean", ["item_nbr", "day_of_week"])):
+        grown = (sums.withColumn("iteration", F.explode(F.sequence(F.col("month"), F.lit(12))))
+                 .groupBy(*keys, "iteration", "fold").agg(F.sum("n").alias("n_own"), F.sum("s").alias("s_own")))
+        every = grown.groupBy(*keys, "iteration").agg(F.sum("n_own").alias("n_all"), F.sum("s_own").alias("s_all"))
+        held = (sums.groupBy(*keys, "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+                .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(12)))))
+        j = held.join(every, [*keys, "iteration"], "left").join(grown, [*keys, "iteration", "fold"], "left")
+        n_fit = F.coalesce("n_all", F.lit(0.0)) - F.coalesce("n_own", F.lit(0.0))
+        p = F.when(n_fit > 0, (F.col("s_all") - F.coalesce("s_own", F.lit(0.0))) / n_fit).otherwise(F.lit(0.0))
+        err = j.withColumn("p", p).select("fold", "iteration", "n", (
+            F.col("ss") - 2 * F.col("p") * F.col("s") + F.col("n") * F.col("p") * F.col("p")).alias("sse"))
+        curve = (err.groupBy("fold", "iteration").agg(F.sqrt(F.greatest(F.sum("sse"), F.lit(0.0)) / F.sum("n")).alias("rmse"))
+                 .select(F.lit(setting).alias("setting"), "fold", "iteration", "rmse"))
+        out = curve if out is None else out.unionByName(curve)
+    return out
+
+
+def cv_curve(spark, sf_dir):
+    """Fold-mean curve and population std per setting and iteration."""
+    from shelfcast.plans import tune
+    return tune.cv_curve(_fold_curves(spark, sf_dir)).select(
+        "setting", "iteration", round6(F.col("rmse_mean")).alias("rmse_mean"), round6(F.col("rmse_std")).alias("rmse_std"))
+
+
+def cv_best(spark, sf_dir):
+    """Per setting the patience rule on the fold-mean curve, with mean and std at the best iteration."""
+    from shelfcast.plans import tune
+    return tune.tree_cv_summary(_fold_curves(spark, sf_dir), CURVE_PATIENCE)
+
+
+def cv_curve_wide(spark, sf_dir):
+    """The curves of the folds in the wide form of the history file: one column per fold."""
+    from shelfcast.sources.files import history_wide as wide
+    c = _fold_curves(spark, sf_dir)
+    return wide(c.select(F.col("setting").alias("run"), "iteration", F.concat(F.lit("fold"), F.col("fold")).alias("dataset"),
+                         round6(F.col("rmse")).alias("rmse")))
+
+
 def learning_curve(spark, sf_dir):
     return _month_curve(spark, sf_dir).withColumn("rmse", round6(F.col("rmse")))
 
@@ -342,7 +402,7 @@ _RUNS: dict = {}
 
 
 def _frames(spark, sf_dir, kind: str):
-    k = (id(spark), sf_dir, kind)
+    k = (_app(spark), sf_dir, kind)
     if k not in _FRAMES:
         make = prepare.encode_trees if kind == "tree" else prepare.encode_mlp
         # encoded frames are cheap projections of the persisted normalised
@@ -353,7 +413,7 @@ def _frames(spark, sf_dir, kind: str):
 
 def _run(spark, sf_dir, what: str):
     from shelfcast.plans import train as T
-    k = (id(spark), sf_dir, what)
+    k = (_app(spark), sf_dir, what)
     if k not in _RUNS:
         if what == "gbt":
             _RUNS[k] = T.trees(_frames(spark, sf_dir, "tree"), "gbt", **gbt.DEFAULTS)
@@ -475,6 +535,9 @@ def queries() -> dict:
         "cv_summary": cv_summary,
         "learning_curve": learning_curve,
         "early_stop": early_stop,
+        "cv_curve": cv_curve,
+        "cv_best": cv_best,
+        "cv_curve_wide": cv_curve_wide,
         "gbt_forecast": gbt_forecast,
         "gbt_metrics": gbt_metrics,
         "gbt_history": gbt_history,

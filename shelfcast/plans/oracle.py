@@ -222,6 +222,41 @@ curve AS (
   GROUP BY r.iteration)"""
 
 
+def _fold_curves() -> str:
+    """CTEs up to curves(setting, fold, iteration, rmse), row by row: every row is held
+    against the mean of the other folds' rows of its group in months up to the iteration."""
+    parts = []
+    for setting, keys in (("item_mean", ["item_nbr"]), ("item_weekday_mean", ["item_nbr", "day_of_week"])):
+        kl = ", ".join(keys)
+        on = " AND ".join(f"v.{k} = g.{k}" for k in keys)
+        parts.append(f"""
+  SELECT '{setting}' AS setting, v.fold, CAST(r.iteration AS INTEGER) AS iteration,
+         sqrt(avg((v.unit_sales - coalesce(g.prediction, 0.0)) * (v.unit_sales - coalesce(g.prediction, 0.0)))) AS rmse
+  FROM frow v CROSS JOIN range(1, 13) r(iteration)
+  LEFT JOIN (SELECT {kl}, h.fold, i.iteration, sum(s) / sum(c) AS prediction
+             FROM (SELECT {kl}, month, fold AS own, sum(unit_sales) AS s, count(*) AS c FROM frow GROUP BY {kl}, month, fold) f
+             JOIN range(0, 5) h(fold) ON h.fold <> f.own JOIN range(1, 13) i(iteration) ON i.iteration >= f.month
+             GROUP BY {kl}, h.fold, i.iteration) g
+    ON {on} AND g.fold = v.fold AND g.iteration = r.iteration
+  GROUP BY v.fold, r.iteration""")
+    return _with(*_ALL, _NORM, f"\nfrow AS (SELECT item_nbr, day_of_week, month, unit_sales, {FOLD} AS fold FROM ntrain)",
+                 "\ncurves AS (" + " UNION ALL ".join(parts) + ")",
+                 "\ncurve AS (SELECT setting AS run, iteration, avg(rmse) AS rmse, stddev_pop(rmse) AS rmse_std FROM curves GROUP BY 1, 2)")
+
+
+def _cv_best(patience: int) -> str:
+    return _fold_curves() + f""",
+best AS (
+  SELECT run, iteration, (min({{'v': rmse, 'i': iteration}}) OVER (PARTITION BY run ORDER BY iteration
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)).i AS best_iteration FROM curve),
+stops AS (
+  SELECT run, coalesce(min(CASE WHEN iteration - best_iteration >= {patience} THEN iteration END), max(iteration)) AS stop_iteration
+  FROM best GROUP BY run)
+SELECT s.run AS setting, b.best_iteration, round(c.rmse, 6) AS rmse_mean, round(c.rmse_std, 6) AS rmse_std
+FROM stops s JOIN best b ON b.run = s.run AND b.iteration = s.stop_iteration
+JOIN curve c ON c.run = b.run AND c.iteration = b.best_iteration"""
+
+
 def _early_stop(patience: int) -> str:
     return _with(*_ALL, _NORM, _CURVE, """
 best AS (
@@ -319,4 +354,8 @@ FROM scored s JOIN test t ON s.date = t.date AND s.store_nbr = t.store_nbr AND s
         "cv_summary": _cv(),
         "learning_curve": _with(*_ALL, _NORM, _CURVE) + f"\nSELECT run, iteration, 'valid' AS dataset, {_r6('rmse')} AS rmse FROM curve",
         "early_stop": _early_stop(3),
+        "cv_curve": _fold_curves() + f"\nSELECT run AS setting, iteration, {_r6('rmse')} AS rmse_mean, {_r6('rmse_std')} AS rmse_std FROM curve",
+        "cv_best": _cv_best(3),
+        "cv_curve_wide": _fold_curves() + "\nSELECT setting AS run, iteration, " + ", ".join(
+            f"max({_r6('rmse')}) FILTER (fold = {i}) AS fold{i}" for i in range(5)) + " FROM curves GROUP BY setting, iteration",
     }

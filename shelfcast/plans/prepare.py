@@ -66,15 +66,20 @@ def load(spark: SparkSession, sf_dir: str, **kw) -> Dataset:
     return build_dataset(s, st, it, **kw)
 
 
+def matched_stores(ds: Dataset, stores: DataFrame) -> int:
+    """Grid stores with a store row (one small job per dataset)."""
+    if "matched_stores" not in ds.counts:
+        ds.counts["matched_stores"] = (ds.facts.select("store_nbr").distinct()
+                                       .join(stores.select("store_nbr"), "store_nbr", "left_semi").count())
+    return ds.counts["matched_stores"]
+
+
 def sparse_stats(ds: Dataset, stores: DataFrame, items: DataFrame) -> DataFrame:
     """Training-set item statistics without reading the zero-filled rows.
 
     Panel rows per item = dates x (grid stores with a store row); facts are
     restricted to stores and items that survive the dimension joins."""
-    if "matched_stores" not in ds.counts:   # one small job per dataset
-        ds.counts["matched_stores"] = (ds.facts.select("store_nbr").distinct()
-                                       .join(stores.select("store_nbr"), "store_nbr", "left_semi").count())
-    n_stores = ds.counts["matched_stores"]
+    n_stores = matched_stores(ds, stores)
     facts = (ds.facts.join(stores.select("store_nbr"), "store_nbr", "left_semi")
              .join(items.select("item_nbr"), "item_nbr", "left_semi"))
     return stats.item_stats_sparse(facts, ds.counts["date"] * n_stores)

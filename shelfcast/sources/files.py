@@ -4,6 +4,8 @@
   (no inference pass over the data).
 * The prepared dataset, stored as Parquet partitioned by month so a reader of
   one period prunes whole folders.
+* The same dataset as a table bucketed by item within its months, so that per-item
+  statistics and joins of two such tables need no exchange.
 * Result tables: run metrics (appended), iteration history (one row per run,
   iteration and dataset; pivoted wide on write) and feature importance.
 """
@@ -93,6 +95,33 @@ def load_dataset(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(dataset_path(root, name))
 
 
+def save_bucketed(df: DataFrame, root: str, name: str, buckets: int, key: str = "item_nbr", partition_by: str = "month") -> DataFrame:
+    """Save a dataset as a table of ``buckets`` buckets of ``key`` within each partition,
+    at the dataset's path, and return it. One exchange puts every bucket into one task, so a
+    month has one file a bucket. A hot key is one bucket: choose other buckets than the
+    item where one item holds a large part of the rows (a zero-filled panel has none)."""
+    path = dataset_path(root, name)
+    (df.repartition(buckets, key).write.mode("overwrite").partitionBy(partition_by)
+     .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table_name(name)))
+    return df.sparkSession.table(table_name(name))
+
+
+def load_bucketed(spark: SparkSession, root: str, name: str, schema: T.StructType, buckets: int,
+                  key: str = "item_nbr", partition_by: str = "month") -> DataFrame:
+    """The table that ``save_bucketed`` left at the dataset's path, declared anew for a
+    session whose catalog doesn't have it (the files carry their bucket numbers)."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    table = table_name(name)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet PARTITIONED BY ({partition_by}) "
+              f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{dataset_path(root, name)}'")
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
+def table_name(name: str) -> str:
+    return "train_" + "".join(c if c.isalnum() else "_" for c in name)
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """Add (run, metric, value) rows to a folder with one partition per run. A run's
     partition is staged and replaced as a whole, so a repeated job leaves one row per
