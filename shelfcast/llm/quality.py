@@ -83,9 +83,22 @@ class Sparse:
                   np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32), width)
 
     @classmethod
-    def of_lists(cls, lists: pa.ListArray, width: int) -> Sparse:
+    def of_column(cls, c: pa.Array, width: int) -> Sparse:
+        """From lists of feature numbers, or from the same packed into bytes."""
+        if not pa.types.is_list(c.type):
+            return cls.of_packed(c, width)
         out = cls([], width)
-        out._set(np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), width)
+        out._set(np.diff(c.offsets.to_numpy()), c.flatten().to_numpy(), width)
+        return out
+
+    @classmethod
+    def of_packed(cls, packed: pa.BinaryArray, width: int) -> Sparse:
+        """From rows of little-endian 32-bit feature numbers."""
+        out = cls([], width)
+        at = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, packed.offset * 4).astype(np.int64) if len(packed) else np.zeros(1, np.int64)
+        data = packed.buffers()[2]
+        cols = np.frombuffer(data, np.uint8)[at[0]:at[-1]].view("<i4") if data is not None and at[-1] > at[0] else np.zeros(0, np.int32)
+        out._set(np.diff(at) // 4, cols, width)
         return out
 
     def _set(self, size: np.ndarray, cols: np.ndarray, width: int) -> None:
@@ -101,6 +114,10 @@ class Sparse:
         return np.bincount(self.col, g[self.row], self.width)
 
 
+def packed(row) -> bytes:
+    return np.asarray(row, "<i4").tobytes()
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -201,23 +218,35 @@ def balance(labels: float, pool: float) -> float:
     return min(1.0, labels / max(pool, 1e-9))
 
 
-def pool_sums(views: list[Sparse], state: dict) -> np.ndarray:
+def verdicts(views: list[Sparse], judges: list, cuts: list) -> list:
+    """For each view the rows on which the other view is confident: (up, down)."""
+    scores = [x.dot(m) for x, m in zip(views, judges)]
+    return [beyond(scores[1 - k], *cuts[k]) for k in (0, 1)]
+
+
+def pool_sums(views: list[Sparse], state: dict, marks: np.ndarray | None = None) -> np.ndarray:
     """For each target and view, end to end: the gradient sum over the rows on
     which the other view is confident, and their weight. ``state``: target to
-    (models that judge, cuts of the judging view, weights being fitted)."""
+    (models that judge, cuts of the judging view, weights being fitted); ``marks``:
+    the verdicts of ``judged``, if they are there."""
     out = []
-    for judges, cuts, now in (state[name] for name in sorted(state)):
-        scores = [x.dot(m) for x, m in zip(views, judges)]
+    for t, (judges, cuts, now) in enumerate(state[name] for name in sorted(state)):
+        if marks is None:
+            found = verdicts(views, judges, cuts)
+        else:
+            found = [((marks >> (4 * t + 2 * k) & 1).astype(bool), (marks >> (4 * t + 2 * k + 1) & 1).astype(bool)) for k in (0, 1)]
         for k in (0, 1):
-            up, down = beyond(scores[1 - k], *cuts[k])
+            up, down = found[k]
             weight = 0.5 * (up | down)
             out += [views[k].back((sigmoid(views[k].dot(now[k])) - up) * weight), [weight.sum()]]
     return np.concatenate(out)
 
 
-def co_train_over(views: list[Sparse], y: dict, labelled: dict, held: dict, sums, rounds=ROUNDS, steps=100, rate=0.15, ridge=2e-5) -> dict:
+def co_train_over(views: list[Sparse], y: dict, labelled: dict, held: dict, sums, rounds=ROUNDS, steps=100, rate=0.15, ridge=2e-5,
+                  judge=None) -> dict:
     """``co_train`` for all targets at once, over an unlabelled pool of any size:
-    ``sums`` gives the pool's ``pool_sums`` for a state. The labelled rows are here."""
+    ``sums`` gives the pool's ``pool_sums`` for a state. The labelled rows are here.
+    ``judge(models, cuts)``, if given, is called once a round, before its sums."""
     names = [n for n in sorted(y) if min(y[n][labelled[n] & ~held[n]].sum(), (1 - y[n])[labelled[n] & ~held[n]].sum(),
                                          y[n][held[n]].sum(), (1 - y[n])[held[n]].sum()) >= 1]
     train = {n: (labelled[n] & ~held[n]).astype(float) for n in names}
@@ -225,6 +254,8 @@ def co_train_over(views: list[Sparse], y: dict, labelled: dict, held: dict, sums
     for _ in range(rounds if names else 0):
         scores = {n: [x.dot(m) for x, m in zip(views, models[n])] for n in names}
         cuts = {n: [pure_cuts(scores[n][1 - k][held[n]], y[n][held[n]]) for k in (0, 1)] for n in names}
+        if judge:
+            judge(models, cuts)
         now = {n: [m.copy() for m in models[n]] for n in names}
         moments = {n: [(np.zeros(x.width), np.zeros(x.width)) for x in views] for n in names}
         for t in range(1, steps // 3 + 1):
@@ -281,8 +312,11 @@ class Classifier:
 
     def score(self, texts, sources, langs, n_chars) -> dict[str, np.ndarray]:
         """Probability of each target; None for a target that isn't judged."""
-        views = [Sparse([self.text_row(text_features(t)) for t in texts], self.width[0]),
-                 Sparse([self.page_row(page_figures(t, n), s, g) for t, s, g, n in zip(texts, sources, langs, n_chars)], self.width[1])]
+        return self.score_views([
+            Sparse([self.text_row(text_features(t)) for t in texts], self.width[0]),
+            Sparse([self.page_row(page_figures(t, n), s, g) for t, s, g, n in zip(texts, sources, langs, n_chars)], self.width[1])])
+
+    def score_views(self, views: list[Sparse]) -> dict[str, np.ndarray]:
         out = {}
         for name in TARGETS:
             m = self.targets.get(name)
@@ -297,6 +331,14 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_features=MOST_FEATURES, rounds=ROUNDS) -> Classifier:
     """Co-train on a bounded number of labelled and all other documents; columns
     doc_id, text, lang, source, n_chars and doc_id, quality, toxic."""
+    model, rows = fit_rows(docs, labels, most_labelled, most_features, rounds)
+    discard(rows)
+    return model
+
+
+def fit_rows(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_features=MOST_FEATURES,
+             rounds=ROUNDS) -> tuple[Classifier, DataFrame]:
+    """The model, and the table of the features of all documents that it was fitted from."""
     spark = docs.sparkSession
     prepare(spark)
     known = labels.filter("doc_id is not null").groupBy("doc_id").agg(
@@ -329,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_fe
     vocab = sorted({bytes(r.f) for r in top("a", n_low).union(top("b", n_toxic)).collect()})
     discard(sample)
     words = spark.sparkContext.broadcast({v: i for i, v in enumerate(vocab)})
-    schema = "doc_id string, low int, toxic int, own boolean, lang string, source string, found array<int>, figures array<double>"
+    schema = "doc_id string, low int, toxic int, own boolean, lang string, source string, found binary, figures array<double>"
 
     def numbered(batches):
         from shelfcast.llm import quality as Q
@@ -339,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_fe
             yield pa.RecordBatch.from_arrays([
                 pa.array([None if i is None else str(i) for i in c["doc_id"]], pa.string()), pa.array(c["low"], pa.int32()),
                 pa.array(c["toxic"], pa.int32()), pa.array(c["own"], pa.bool_()), pa.array(c["lang"], pa.string()), pa.array(c["source"], pa.string()),
-                pa.array([sorted(place[f] for f in Q.text_features(t) if f in place) for t in c["text"]], pa.list_(pa.int32())),
+                pa.array([Q.packed(sorted(place[f] for f in Q.text_features(t) if f in place)) for t in c["text"]], pa.binary()),
                 pa.array([Q.page_figures(t, n) for t, n in zip(c["text"], c["n_chars"])], pa.list_(pa.float64()))],
                 names=["doc_id", "low", "toxic", "own", "lang", "source", "found", "figures"])
 
@@ -352,17 +394,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_fe
     def paged(batches):
         for b in batches:
             figures, source, lang = (b.column(i).to_pylist() for i in (2, 1, 0))
-            yield pa.RecordBatch.from_arrays([b.column(3), pa.array([model.page_row(f, x, g) for f, x, g in zip(figures, source, lang)],
-                                                                    pa.list_(pa.int32()))], names=["found", "page"])
+            yield pa.RecordBatch.from_arrays([b.column(3), pa.array([packed(model.page_row(f, x, g)) for f, x, g in zip(figures, source, lang)],
+                                                                    pa.binary())], names=["found", "page"])
 
-    pool = materialise(rows.filter("not own").select("lang", "source", "figures", "found").mapInArrow(paged, "found array<int>, page array<int>"),
+    pool = materialise(rows.filter("not own").select("lang", "source", "figures", "found").mapInArrow(paged, "found binary, page binary"),
                        "quality-pool")
     # on the driver: the labelled documents' feature numbers and figures, column by column
     got = rows.filter("own").toArrow().sort_by("doc_id").combine_chunks()
-    discard(rows)
     column = lambda c: got.column(c).combine_chunks()
     figures = np.asarray(column("figures").flatten().to_numpy()).reshape(-1, _FIGURES)
-    views = [Sparse.of_lists(column("found"), model.width[0]),
+    views = [Sparse.of_packed(column("found"), model.width[0]),
              Sparse([model.page_row(f, x, g) for f, x, g in zip(figures, column("source").to_pylist(), column("lang").to_pylist())], model.width[1])]
     y, labelled, held = {}, {}, {}
     for name in TARGETS:
@@ -371,13 +412,44 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled=MOST_LABELLED, most_fe
         y[name] = np.array([v or 0 for v in label], np.int64)
         held[name] = np.zeros(len(label), bool)
         held[name][np.flatnonzero(labelled[name])[::HOLD_OUT]] = True
-    model.targets = co_train_over(views, y, labelled, held, lambda state: over_pool(pool, model.width, state), rounds)
-    discard(pool)
-    return model
+    now = [pool]
+
+    def judge(models, cuts):
+        before = now[0]
+        now[0] = materialise(judged(pool, model.width, models, cuts), "quality-judged")
+        if before is not pool:
+            discard(before)
+
+    model.targets = co_train_over(views, y, labelled, held, lambda state: over_pool(now[0], model.width, state), rounds, judge=judge)
+    for t in {id(t): t for t in (pool, now[0])}.values():
+        discard(t)
+    return model, rows
+
+
+def judged(pool: DataFrame, width: tuple, models: dict, cuts: dict) -> DataFrame:
+    """Every row of the pool with the ``verdicts`` of a round as bits: four a target in
+    sorted order, for each view up and down. Features of a view for which no target
+    has a verdict are left empty: they carry no weight."""
+
+    def run(batches):
+        import pyarrow.compute as pc
+        from shelfcast.llm import quality as Q
+        none = pa.scalar(b"", pa.binary())
+        for b in batches:
+            views = [Q.Sparse.of_column(b.column(i), w) for i, w in enumerate(width)]
+            marks, used = np.zeros(b.num_rows, np.int32), np.zeros((2, b.num_rows), bool)
+            for t, name in enumerate(sorted(models)):
+                for k, (up, down) in enumerate(Q.verdicts(views, models[name], cuts[name])):
+                    marks |= (up | down.astype(np.int32) << 1).astype(np.int32) << (4 * t + 2 * k)
+                    used[k] |= up | down
+            yield pa.RecordBatch.from_arrays([*[pc.if_else(pa.array(used[k]), b.column(k), none) for k in (0, 1)], pa.array(marks)],
+                                             names=["found", "page", "marks"])
+
+    return pool.mapInArrow(run, "found binary, page binary, marks int")
 
 
 def over_pool(pool: DataFrame, width: tuple, state: dict) -> np.ndarray:
-    """``pool_sums`` over the rows (found, page) of a table."""
+    """``pool_sums`` over the rows (found, page and, once judged, marks) of a table."""
     size = len(state) * (sum(width) + 4)
 
     def run(batches):
@@ -385,7 +457,8 @@ def over_pool(pool: DataFrame, width: tuple, state: dict) -> np.ndarray:
         out = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                out += Q.pool_sums([Q.Sparse.of_lists(b.column(i), w) for i, w in enumerate(width)], state)
+                marks = b.column(2).to_numpy() if b.num_columns > 2 else None
+                out += Q.pool_sums([Q.Sparse.of_column(b.column(i), w) for i, w in enumerate(width)], state, marks)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "v"])
 
@@ -396,33 +469,58 @@ def over_pool(pool: DataFrame, width: tuple, state: dict) -> np.ndarray:
     return np.bincount(got.column("at").to_numpy(), got.column("v").to_numpy(), size)
 
 
+def _verdict(s: dict, n: int) -> pa.StructArray:
+    p = [s[t] if s[t] is not None else np.full(n, np.nan) for t in ("low", "toxic")]
+    rejected = (np.nan_to_num(p[0]) >= REJECT) | (np.nan_to_num(p[1]) >= REJECT)
+    return pa.StructArray.from_arrays([pa.array(p[0], pa.float64(), from_pandas=True), pa.array(p[1], pa.float64(), from_pandas=True),
+                                       pa.array(rejected, pa.bool_())], ["p_low", "p_toxic", "rejected"])
+
+
+_STRUCT = T.StructType().add("p_low", T.DoubleType()).add("p_toxic", T.DoubleType()).add("rejected", T.BooleanType())
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """``docs`` with a struct ``quality_class``: p_low, p_toxic, rejected."""
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = [docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")]
-    struct = T._parse_datatype_string("p_low double, p_toxic double, rejected boolean")
-    schema = T.StructType(docs.schema.fields + [T.StructField("quality_class", struct)])
+    schema = T.StructType(docs.schema.fields + [T.StructField("quality_class", _STRUCT)])
 
     def run(batches):
+        from shelfcast.llm import quality as Q
         for b in batches:
-            n = b.num_rows
-            s = sent.value.score(*(b.column(i).to_pylist() for i in at))
-            p = [s[t] if s[t] is not None else np.full(n, np.nan) for t in ("low", "toxic")]
-            rejected = (np.nan_to_num(p[0]) >= REJECT) | (np.nan_to_num(p[1]) >= REJECT)
-            made = pa.StructArray.from_arrays([pa.array(p[0], pa.float64(), from_pandas=True), pa.array(p[1], pa.float64(), from_pandas=True),
-                                               pa.array(rejected, pa.bool_())], ["p_low", "p_toxic", "rejected"])
+            made = Q._verdict(sent.value.score(*(b.column(i).to_pylist() for i in at)), b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "quality_class"])
 
     return docs.mapInArrow(run, schema)
 
 
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and ``quality_class`` of every document, as ``classify`` gives them, but
+    scored from the features that the fit has written: the texts are read once less."""
+    model, rows = fit_rows(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("quality_class", _STRUCT)])
+
+    def run(batches):
+        from shelfcast.llm import quality as Q
+        for b in batches:
+            m = sent.value
+            figures, source, lang = (b.column(i).to_pylist() for i in (2, 3, 4))
+            views = [Q.Sparse.of_packed(b.column(1), m.width[0]),
+                     Q.Sparse([m.page_row(f, x, g) for f, x, g in zip(figures, source, lang)], m.width[1])]
+            yield pa.RecordBatch.from_arrays([b.column(0), Q._verdict(m.score_views(views), b.num_rows)], names=["doc_id", "quality_class"])
+
+    out = rows.select("doc_id", "found", "figures", "source", "lang").mapInArrow(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
 
 
 def op5_quality(spark, sf_dir):
-    r = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    r = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     q = F.col("quality_class")
     return r.select("doc_id", F.round(q["p_low"], 6).alias("p_low_quality"), F.round(q["p_toxic"], 6).alias("p_toxic"),
                     q["rejected"].alias("rejected"))

@@ -483,3 +483,46 @@ def test_classifier_edges(spark):
     assert got.columns == [*d.columns, "quality_class"]
     assert all(r.quality_class.p_low is None and not r.quality_class.rejected for r in got.collect())
     assert quality.classify(d.limit(0), none).count() == 0
+
+
+def test_classifier_scores_from_the_fitted_features(spark):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", None, "s", 0)], docs.schema)
+    docs = docs.unionByName(odd)
+    key = lambda r: (r.doc_id is None, r.doc_id)
+    want = sorted(quality.classify(docs, labels).select("doc_id", "quality_class").collect(), key=key)
+    got = sorted(quality.judge(docs, labels).collect(), key=key)
+    assert [r.doc_id for r in got] == [r.doc_id for r in want]
+    for a, b in zip(got, want):
+        assert np.allclose(a.quality_class[:2], b.quality_class[:2], atol=1e-9) and a.quality_class.rejected == b.quality_class.rejected
+    assert quality.judge(docs.limit(0), labels).count() == 0
+
+
+def test_classifier_sums_by_marks_equal_brute_force(spark):
+    """The gradient sums of a judged table, against one document after another."""
+    r = np.random.default_rng(2)
+    common.prepare(spark)
+    rows = [[sorted(r.choice(6, int(r.integers(0, 5)), replace=False).tolist()) for _ in range(500)] for _ in range(2)]
+    models = {n: [r.normal(size=7), r.normal(size=7)] for n in ("low", "toxic")}
+    cuts = {n: [(-0.6, 0.9), (-1.1, 0.4)] for n in models}
+    now = {n: [r.normal(size=7), r.normal(size=7)] for n in models}
+    pool = spark.createDataFrame([(quality.packed(a), quality.packed(b)) for a, b in zip(*rows)], "found binary, page binary").repartition(3)
+    table = common.materialise(quality.judged(pool, (6, 6), models, cuts), "test-judged")
+    assert table.count() == 500
+    state = {n: (models[n], cuts[n], now[n]) for n in models}
+    got = quality.over_pool(table, (6, 6), state)
+    assert np.allclose(got[:len(got)], quality.over_pool(pool, (6, 6), state))
+    want = []
+    for n in ("low", "toxic"):
+        for k in (0, 1):
+            g, weight = np.zeros(7), 0.0
+            for mine, other in zip(rows[k], rows[1 - k]):
+                s = sum(models[n][1 - k][c] for c in [*other, 6])
+                low, high = cuts[n][k]
+                if s > high or s < low:
+                    p = 1 / (1 + np.exp(-sum(now[n][k][c] for c in [*mine, 6])))
+                    for c in [*mine, 6]:
+                        g[c] += 0.5 * (p - (s > high))
+                    weight += 0.5
+            want += [*g, weight]
+    assert np.allclose(got[:len(want)], want) and not got[len(want):].any()
