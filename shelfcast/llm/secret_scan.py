@@ -16,7 +16,8 @@ of the pieces: leftmost, non-overlapping, in code points, end exclusive.
 Edge cases: null and empty texts have no spans; rows that repeat an id are told
 apart by their text (rows equal in both count as one for the index and are all
 reported); null ids are reported; an empty table gives an empty result; other
-columns are not read.
+columns are not read; of a very long text with many matches every one is
+reported, in time about in proportion to its length.
 """
 
 from __future__ import annotations
@@ -124,6 +125,8 @@ def _terms(rules) -> list[tuple[str, bool]]:
     return sorted(out)
 
 
+BLOCK = 512     # matches whose positions are summed up together
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -153,22 +156,43 @@ def candidates(index: DataFrame, rules=BASE + ADDED) -> DataFrame:
     return met.groupBy("id", "th").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: what a lambda names from outside
+    is worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, rule: Rule) -> Column:
-    """Array of (start, end, kind) of a rule's matches that are long enough."""
+    """Array of (start, end, kind) of a rule's matches that are long enough.
+
+    Starts are running sums of the lengths of matches and gaps, taken in blocks of
+    ``BLOCK`` matches that are then moved on: a list that grew by one match a step
+    would be copied as often as there are matches."""
     rx = F.lit(rule.regex)
     found = F.regexp_extract_all(text, rx, F.lit(0))
     sized = F.regexp_extract_all(text, rx, F.lit(rule.group)) if rule.group else found
     between = F.transform(F.split(text, rule.regex, -1), F.char_length)
-    both = F.transform(found, lambda m, i: F.struct(F.element_at(between, i + 1).alias("gap"), F.char_length(m).alias("n"),
-                                                    F.char_length(F.element_at(sized, i + 1)).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:string,v:int>>").alias("out"))
-    walked = F.aggregate(both, start, lambda acc, m: F.struct(
-        (acc["at"] + m["gap"] + m["n"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"),
-                                              (acc["at"] + m["gap"] + m["n"]).alias("stop"),
-                                              F.lit(rule.kind).alias("kind"), m["v"].alias("v")))).alias("out")))
+    # there is one gap more than matches: the text behind the last one
+    zipped = F.arrays_zip(found, sized, between).cast("array<struct<m:string,s:string,gap:int>>")
+    both = F.transform(F.filter(zipped, lambda z: z["m"].isNotNull()), lambda z: F.struct(
+        z["gap"].alias("gap"), F.char_length(z["m"]).alias("n"), F.char_length(z["s"]).alias("v")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,v:int>>").alias("out"))
+
+    def step(acc, m):
+        at = acc["at"] + m["gap"]
+        return F.struct((at + m["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
+            at.alias("start"), (at + m["n"]).alias("stop"), m["v"].alias("v")))).alias("out"))
+
+    def moved(acc, block):
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.transform(block["out"], lambda m: F.struct(
+            (acc["at"] + m["start"]).alias("start"), (acc["at"] + m["stop"]).alias("stop"), m["v"].alias("v")))).alias("out"))
+
+    last = lambda z: F.greatest(F.floor((F.size(z) - 1) / BLOCK), F.lit(0)).cast("int")
+    blocks = _let(both, lambda z: F.transform(F.sequence(F.lit(0), last(z)),
+                                              lambda i: F.aggregate(F.slice(z, i * BLOCK + 1, F.lit(BLOCK)), start, step)))
+    walked = F.aggregate(blocks, start, moved)
     return F.transform(F.filter(walked["out"], lambda m: m["v"] >= rule.least),
-                       lambda m: F.struct(m["start"], m["stop"], m["kind"]))
+                       lambda m: F.struct(m["start"], m["stop"], F.lit(rule.kind).alias("kind")))
 
 
 def _scan_rule(rule: Rule) -> Rule:

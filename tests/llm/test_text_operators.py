@@ -143,6 +143,20 @@ def test_trigram_queries():
     assert frozenset({"api", "pik", "ike", "key"}) in q["assign"] and frozenset({"api", "pi_", "i_k", "_ke", "key"}) in q["assign"]
 
 
+def test_secret_scan_of_a_text_full_of_secrets(spark):
+    import time
+    text = " ".join(f"token=abc{i:05d} AKIA{i:020d}" for i in range(8000)) + " tail"
+    d = spark.createDataFrame([(1, text), (2, "token=abcdef"), (3, "")], "doc_id long, text string")
+    t = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(d).collect()}
+    spent = time.time() - t
+    want = sorted([(*m.span(), "assign") for m in re.finditer(r"token=[a-z0-9]+", text)]
+                  + [(*m.span(), "access") for m in re.finditer(r"AKIA[0-9]+", text)])
+    assert [s for s in got[1] if s[2] in ("assign", "access")] == want and len(want) == 16000
+    assert got[2] == [(0, 12, "assign")] and got[3] == []
+    assert spent < 60, spent
+
+
 def test_secret_scan_is_native(spark):
     d = spark.createDataFrame([(1, "token=abcdefg")], "doc_id long, text string")
     plan = secret_scan.scan(d)._jdf.queryExecution().toString()
