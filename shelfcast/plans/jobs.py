@@ -32,9 +32,11 @@ TEST_NAME = "perishable_test"
 
 
 def job_prepare(spark, sf_dir: str | None, out: str, sales_csv: str | None = None, stores_csv: str | None = None,
-                items_csv: str | None = None, **periods) -> dict:
+                items_csv: str | None = None, buckets: int | None = None, **periods) -> dict:
     """Prepare and save the training and test sets, from the star schema of ``sf_dir`` or
-    from CSV files (lines that don't parse go to ``results/rejects``).
+    from CSV files (lines that don't parse go to ``results/rejects``). With ``buckets`` the
+    training set is bucketed by item, and training jobs given the same number read the
+    item statistics and join them without an exchange.
 
     The key check is part of the write: the zero-filled set has as many rows as the
     grid, which is known, unless a key of the facts is repeated; the rows are observed
@@ -59,7 +61,10 @@ def job_prepare(spark, sf_dir: str | None, out: str, sales_csv: str | None = Non
     rows = int(seen.get["rows"])
     if rows != grid_rows:
         raise ValueError(f"repeated keys: {rows} rows on a grid of {grid_rows}")
-    files.save_dataset(ds.train, f"{out}/data", TRAIN_NAME)
+    if buckets:
+        files.save_bucketed(ds.train, f"{out}/data", TRAIN_NAME, buckets)
+    else:
+        files.save_dataset(ds.train, f"{out}/data", TRAIN_NAME)
     files.save_dataset(ds.test, f"{out}/data", TEST_NAME)
     prof = prepare.sample.profile(ds.facts, "sampled").unionByName(
         prepare.sample.profile(files.load_dataset(spark, f"{out}/data", TRAIN_NAME), "zero_filled"))
@@ -67,16 +72,18 @@ def job_prepare(spark, sf_dir: str | None, out: str, sales_csv: str | None = Non
     return {"counts": ds.counts, "rejected": rejected}
 
 
-def _saved_dataset(spark, sf_dir: str, out: str) -> prepare.Dataset:
+def _saved_dataset(spark, sf_dir: str, out: str, buckets: int | None = None) -> prepare.Dataset:
     """The prepared dataset from the ``prepare`` job's files (dimensions from sf_dir, or
     without one from the copies that ``prepare`` made of the CSV files)."""
     from shelfcast.sources import star
+    saved = files.load_dataset(spark, f"{out}/data", TRAIN_NAME)
+    if buckets:
+        saved = files.load_bucketed(spark, f"{out}/data", TRAIN_NAME, saved.schema, buckets)
     if not sf_dir:
-        return prepare.Dataset(files.load_dataset(spark, f"{out}/data", TRAIN_NAME), files.load_dataset(spark, f"{out}/data", TEST_NAME),
+        return prepare.Dataset(saved, files.load_dataset(spark, f"{out}/data", TEST_NAME),
                                facts=None, counts={}, stores=files.load_dataset(spark, f"{out}/data", "stores"),
                                items=files.load_dataset(spark, f"{out}/data", "items"))
-    ds = prepare.Dataset(files.load_dataset(spark, f"{out}/data", TRAIN_NAME),
-                         files.load_dataset(spark, f"{out}/data", TEST_NAME),
+    ds = prepare.Dataset(saved, files.load_dataset(spark, f"{out}/data", TEST_NAME),
                          facts=None, counts={}, stores=star.stores(spark, sf_dir), items=star.items(spark, sf_dir))
     return ds
 
@@ -97,9 +104,9 @@ def _write_run(res: train.RunResult, out: str, per_day: bool) -> None:
         files.save_importance(res.importance, f"{out}/results/importance/{res.run}")
 
 
-def job_train_trees(spark, sf_dir: str, out: str, per_day: bool = False, **params) -> train.RunResult:
+def job_train_trees(spark, sf_dir: str, out: str, per_day: bool = False, buckets: int | None = None, **params) -> train.RunResult:
     # statistics from the saved training set (dense form: no facts table at hand)
-    ds = _saved_dataset(spark, sf_dir, out)
+    ds = _saved_dataset(spark, sf_dir, out, buckets)
     st = prepare.stats.item_stats(prepare.sample.fill_missing(ds.train))
     mf = prepare.tree_frames(ds, item_stats=st)
     mf.train, mf.test = mf.train.persist(), mf.test.persist()
@@ -111,8 +118,8 @@ def job_train_trees(spark, sf_dir: str, out: str, per_day: bool = False, **param
     return res
 
 
-def job_train_mlp(spark, sf_dir: str, out: str, per_day: bool = False, **params) -> train.RunResult:
-    ds = _saved_dataset(spark, sf_dir, out)
+def job_train_mlp(spark, sf_dir: str, out: str, per_day: bool = False, buckets: int | None = None, **params) -> train.RunResult:
+    ds = _saved_dataset(spark, sf_dir, out, buckets)
     st = prepare.stats.item_stats(prepare.sample.fill_missing(ds.train))
     mf = prepare.mlp_frames(ds, item_stats=st)
     mf.train, mf.test = mf.train.persist(), mf.test.persist()
@@ -172,6 +179,7 @@ def main(argv=None):
     ap.add_argument("--test-period", nargs=2, metavar=("FROM", "TO"))
     ap.add_argument("--out", required=True)
     ap.add_argument("--per-day", action="store_true")
+    ap.add_argument("--buckets", type=int, help="prepare, train-trees, train-mlp: the training set is bucketed by item")
     ap.add_argument("--master", default=None)
     ap.add_argument("--max-iter", type=int)
     ap.add_argument("--max-depth", type=int)
@@ -182,11 +190,11 @@ def main(argv=None):
     extra = {k: v for k, v in {"max_iter": a.max_iter, "max_depth": a.max_depth}.items() if v is not None}
     if a.job == "prepare":
         periods = {k: tuple(v) for k, v in {"train_period": a.train_period, "test_period": a.test_period}.items() if v}
-        print(job_prepare(spark, a.sf_dir, a.out, a.sales_csv, a.stores_csv, a.items_csv, **periods))
+        print(job_prepare(spark, a.sf_dir, a.out, a.sales_csv, a.stores_csv, a.items_csv, a.buckets, **periods))
     elif a.job == "train-trees":
-        job_train_trees(spark, a.sf_dir, a.out, a.per_day, **extra)
+        job_train_trees(spark, a.sf_dir, a.out, a.per_day, a.buckets, **extra)
     elif a.job == "train-mlp":
-        job_train_mlp(spark, a.sf_dir, a.out, a.per_day, **({"epochs": a.epochs} if a.epochs else {}))
+        job_train_mlp(spark, a.sf_dir, a.out, a.per_day, a.buckets, **({"epochs": a.epochs} if a.epochs else {}))
     elif a.job == "tune-trees":
         job_tune_trees(spark, a.sf_dir, a.out, **extra)
     elif a.job == "tune-mlp":

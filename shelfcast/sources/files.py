@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,8 +104,8 @@ def save_bucketed(df: DataFrame, root: str, name: str, buckets: int, key: str =
     item where one item holds a large part of the rows (a zero-filled panel has none)."""
     path = dataset_path(root, name)
     (df.repartition(buckets, key).write.mode("overwrite").partitionBy(partition_by)
-     .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table_name(name)))
-    return df.sparkSession.table(table_name(name))
+     .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table_name(root, name)))
+    return df.sparkSession.table(table_name(root, name))
 
 
 def load_bucketed(spark: SparkSession, root: str, name: str, schema: T.StructType, buckets: int,
@@ -111,15 +113,16 @@ def load_bucketed(spark: SparkSession, root: str, name: str, schema: T.StructTyp
     """The table that ``save_bucketed`` left at the dataset's path, declared anew for a
     session whose catalog doesn't have it (the files carry their bucket numbers)."""
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    table = table_name(name)
+    table = table_name(root, name)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet PARTITIONED BY ({partition_by}) "
               f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{dataset_path(root, name)}'")
     spark.catalog.recoverPartitions(table)
     return spark.table(table)
 
 
-def table_name(name: str) -> str:
-    return "train_" + "".join(c if c.isalnum() else "_" for c in name)
+def table_name(root: str, name: str) -> str:
+    """Catalog name of a dataset; two folders' datasets of one name are two tables."""
+    return "train_" + "".join(c if c.isalnum() else "_" for c in name) + f"_{zlib.crc32(dataset_path(root, name).encode()):08x}"
 
 
 def append_metrics(df: DataFrame, path: str) -> None:

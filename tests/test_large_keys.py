@@ -111,7 +111,7 @@ def test_bucketed_dataset_declared_in_another_session(spark, tmp_dir):
     name = f"bucketed_{uuid.uuid4().hex[:8]}"
     saved = files.save_bucketed(ds.train, tmp_dir, name, buckets=4)
     want, schema = rows(saved, *KEY, "unit_sales"), saved.schema
-    spark.sql(f"DROP TABLE {files.table_name(name)}")           # an external table: its files stay
+    spark.sql(f"DROP TABLE {files.table_name(tmp_dir, name)}")           # an external table: its files stay
     again = files.load_bucketed(spark, tmp_dir, name, schema, buckets=4)
     assert rows(again, *KEY, "unit_sales") == want
     assert "Exchange" not in plan_of(stats.item_stats(again))
@@ -123,3 +123,14 @@ def test_caches_belong_to_an_application(spark):
 
 def test_one_scan_for_all_weekdays(spark):
     assert plan_of(catalog.union_days(spark, SF_SMALL)).count("Union") == 0
+
+
+def test_jobs_on_a_bucketed_dataset(spark, tmp_dir):
+    from shelfcast.plans import jobs
+    jobs.job_prepare(spark, SF_SMALL, tmp_dir, buckets=4)
+    ds = jobs._saved_dataset(spark, SF_SMALL, tmp_dir, buckets=4)
+    assert "Exchange" not in plan_of(stats.item_stats(prepare.sample.fill_missing(ds.train)))
+    few = {"max_iter": 2, "max_depth": 3, "min_instances": 5}
+    got = jobs.job_train_trees(spark, SF_SMALL, tmp_dir, buckets=4, **few)
+    want = jobs.job_train_trees(spark, SF_SMALL, tmp_dir, **few)
+    assert rows(got.metrics, "rmse", "n_rows") == rows(want.metrics, "rmse", "n_rows")
