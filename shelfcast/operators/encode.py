@@ -46,8 +46,9 @@ def apply_label_encoder(model, df: DataFrame, cols, as_int: bool = False) -> Dat
     return out
 
 
-def label_encode(train: DataFrame, test: DataFrame, cols, as_int: bool = False):
-    model = fit_label_encoder(train, cols)
+def label_encode(train: DataFrame, test: DataFrame, cols, as_int: bool = False, fit_on: DataFrame | None = None):
+    """Codes fitted on ``fit_on`` (rows with the training values of ``cols``; default: ``train``)."""
+    model = fit_label_encoder(train if fit_on is None else fit_on, cols)
     return (apply_label_encoder(model, train, cols, as_int),
             apply_label_encoder(model, test, cols, as_int), model)
 

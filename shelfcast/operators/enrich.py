@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 
 from shelfcast.functions.calendar import date_features
 
+SET_COLUMNS = ["date", "store_nbr", "item_nbr", "unit_sales", "onpromotion",
+               "city", "state", "type", "cluster", "family", "class", "perishable",
+               "month", "week_of_year", "day_of_week"]
+
 
 def enrich_dims(panel: DataFrame, stores: DataFrame, items: DataFrame) -> DataFrame:
     """Inner joins to stores and items (rows without a dimension row vanish).
@@ -18,7 +22,4 @@ def enrich_dims(panel: DataFrame, stores: DataFrame, items: DataFrame) -> DataFr
 
 def build_set(panel: DataFrame, stores: DataFrame, items: DataFrame) -> DataFrame:
     """Panel + dimensions + month / ISO week / weekday, in the dataset column order."""
-    out = date_features(enrich_dims(panel, stores, items))
-    return out.select("date", "store_nbr", "item_nbr", "unit_sales", "onpromotion",
-                      "city", "state", "type", "cluster", "family", "class", "perishable",
-                      "month", "week_of_year", "day_of_week")
+    return date_features(enrich_dims(panel, stores, items)).select(*SET_COLUMNS)

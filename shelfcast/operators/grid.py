@@ -145,3 +145,61 @@ def zero_fill(facts: DataFrame, counts: dict | None = None, **grid_args) -> Data
     place = place_columns(plan)
     f = placed(facts.select(*KEY, *cols), plan).repartition(plan["partitions"], *(place or [plan["axis"]]))
     return fill_missing(g.join(f.hint("shuffle_hash"), [*KEY, *place], "left").select(*KEY, *cols))
+
+
+# ---- the panel with the dimensions' columns, aligned without a join on grid rows ----
+
+# Cells (inline keys' product) of one axis key up to which its facts travel as one row.
+MAX_PACKED_CELLS = 1_000_000
+
+
+def packed_plan(facts: DataFrame, counts: dict | None = None, rows_per_partition: int = DEFAULT_ROWS_PER_PARTITION,
+                max_inline: int = DEFAULT_MAX_INLINE) -> dict | None:
+    """Plan of ``packed_panel`` with the inlined key lists; None where the facts of an axis
+    key could outgrow one row, or items are not the axis (then: ``zero_fill``)."""
+    counts = counts or key_counts(facts)
+    plan = plan_grid(counts, rows_per_partition, max_inline, facts.sparkSession.sparkContext.defaultParallelism)
+    if plan["axis"] != "item_nbr" or plan["blocks"] or math.prod(counts[k] for k in plan["inline"]) > MAX_PACKED_CELLS:
+        return None
+    return plan | {"values": {k: _inline_values(facts, k) for k in plan["inline"]}}
+
+
+def packed_panel(facts: DataFrame, plan: dict, with_axis=None, with_outer=None) -> DataFrame:
+    """The rows of ``zero_fill``, grown from one row an axis key that carries its facts: the
+    missing dates of a key, then the missing stores of a date, are added as array
+    differences before each explode. Only facts move, whatever the session's join settings.
+
+    ``with_axis`` and ``with_outer`` add columns that depend on the item or on the date: they
+    are computed once a key instead of once a grid row."""
+    axis, (outer, inner) = plan["axis"], plan["inline"]
+    cols = [c for c in facts.columns if c not in KEY]
+    types = {f.name: f.dataType for f in facts.schema.fields}
+    cell = F.struct(F.col(inner), *cols)
+    whole = F.col(outer).isNotNull() & F.col(inner).isNotNull()
+    keys = (facts.groupBy(axis, outer).agg(F.collect_list(F.when(whole, cell)).alias("_cells"))
+            .groupBy(axis).agg(F.collect_list(F.when(F.col(outer).isNotNull(), F.struct(outer, "_cells"))).alias("_slices")))
+    cells_type = keys.schema["_slices"].dataType.elementType["_cells"].dataType
+    if with_axis is not None:
+        keys = with_axis(keys)
+    keys = keys.repartition(plan["partitions"], axis)
+
+    def filled(values):
+        return F.transform(values, lambda v: F.struct(v.alias(inner), *[F.lit(None).cast(types[c]).alias(c) for c in cols]))
+
+    dates, stores = plan["values"][outer], plan["values"][inner]
+    others = F.array_except(dates, F.transform("_slices", lambda d: d[outer]))
+    slices = F.concat("_slices", F.transform(others, lambda v: F.struct(v.alias(outer), F.array().cast(cells_type).alias("_cells"))))
+    rest = [c for c in keys.columns if c != "_slices"]
+    # the arrays are made in projections of their own: their functions have no generated code, the explodes do
+    days = (keys.select(*rest, filled(stores).alias("_empty"), slices.alias("_all"))
+            .select(*rest, "_empty", F.explode("_all").alias("_slice"))
+            .select(*rest, "_empty", F.col(f"_slice.{outer}").alias(outer), F.col("_slice._cells").alias("_cells")))
+    if with_outer is not None:
+        days = with_outer(days)
+    more = filled(F.array_except(stores, F.transform("_cells", lambda c: c[inner])))
+    cells = F.when(F.size("_cells") == 0, F.col("_empty")).otherwise(F.concat("_cells", more))
+    rest = [c for c in days.columns if c not in ("_empty", "_cells")]
+    out = days.select(*rest, cells.alias("_all")).select(*rest, F.explode("_all").alias("_cell"))
+    out = out.select(*rest, *[F.col(f"_cell.{c}").alias(c) for c in (inner, *cols)])
+    front = [*KEY, *cols]
+    return fill_missing(out.select(*front, *[c for c in out.columns if c not in front]))

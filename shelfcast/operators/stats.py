@@ -47,9 +47,12 @@ def item_stats_sparse(facts: DataFrame, rows_per_item: int, col: str = "unit_sal
 def normalise(df: DataFrame, stats: DataFrame, col: str = "unit_sales") -> DataFrame:
     """z-score ``col`` per item with the given statistics (inner join: rows of
     items without statistics are dropped, as the training-year fit implies)."""
-    return (df.join(stats, "item_nbr", "inner")
-            .withColumn(col, zscore(F.col(col), F.col("mean"), F.col("std")))
-            .drop("mean", "std"))
+    return standardise(df.join(stats, "item_nbr", "inner"), col)
+
+
+def standardise(df: DataFrame, col: str = "unit_sales") -> DataFrame:
+    """z-score ``col`` by the row's own ``mean`` and ``std``, which are dropped."""
+    return df.withColumn(col, zscore(F.col(col), F.col("mean"), F.col("std"))).drop("mean", "std")
 
 
 def unseen_items(df: DataFrame, stats: DataFrame) -> DataFrame:

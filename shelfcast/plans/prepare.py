@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.operators import encode, grid as G, sample, split, stats
-from shelfcast.operators.enrich import build_set
+from shelfcast.functions.calendar import date_features
+from shelfcast.operators.enrich import SET_COLUMNS, build_set
 from shelfcast.schema import CATEGORICAL, UNUSED_COLUMNS
 from shelfcast.sources import star
 
@@ -35,6 +36,7 @@ class Dataset:
     counts: dict = field(default_factory=dict)   # distinct dates / stores / items
     stores: DataFrame | None = None
     items: DataFrame | None = None
+    plan: dict | None = None         # of the packed grid; None: the grid is aligned by a join
 
 
 def sampled_facts(sales: DataFrame, items: DataFrame, start=TRAIN_START, end=TRAIN_END) -> DataFrame:
@@ -48,6 +50,28 @@ def train_panel(facts: DataFrame, counts: dict | None = None, **grid_args) -> Da
     return G.zero_fill(facts, counts=counts, **grid_args)
 
 
+def train_set(facts: DataFrame, stores: DataFrame, items: DataFrame, counts: dict, plan: dict | None,
+              item_columns: DataFrame | None = None, **grid_args) -> DataFrame:
+    """The zero-filled panel with dimensions and calendar (inner joins, as in ``build_set``),
+    and the columns of ``item_columns`` (item_nbr, ...), rows of items without them dropped.
+
+    The item's columns and the date's are attached before the grid's rows are made."""
+    extra = [] if item_columns is None else [c for c in item_columns.columns if c != "item_nbr"]
+    if plan is None:
+        out = build_set(train_panel(facts, counts, **grid_args), stores, items)
+        return out if item_columns is None else out.join(item_columns, "item_nbr").select(*SET_COLUMNS, *extra)
+
+    def with_item(keys):
+        keys = keys.join(items, "item_nbr")
+        return keys if item_columns is None else keys.join(item_columns, "item_nbr")
+
+    # the grid's stores were counted (at most max_inline): their rows are the side to broadcast. Sizes
+    # can't tell, for a plan knows the grid by the few rows that it is grown from.
+    there = stores.join(facts.select("store_nbr").distinct(), "store_nbr", "left_semi")
+    out = G.packed_panel(facts, plan, with_item, date_features).join(F.broadcast(there), "store_nbr")
+    return out.select(*SET_COLUMNS, *extra)
+
+
 def build_dataset(sales: DataFrame, stores: DataFrame, items: DataFrame,
                   train_period=(TRAIN_START, TRAIN_END), test_period=(TEST_START, TEST_END),
                   check_key: bool = False, **grid_args) -> Dataset:
@@ -55,10 +79,11 @@ def build_dataset(sales: DataFrame, stores: DataFrame, items: DataFrame,
     if check_key:
         sample.assert_unique_key(facts)
     counts = G.key_counts(facts)
-    train = build_set(train_panel(facts, counts, **grid_args), stores, items)
+    plan = G.packed_plan(facts, counts, **grid_args)
+    train = train_set(facts, stores, items, counts, plan, **grid_args)
     test_facts = sample.fill_missing(sample.sample_perishable(sales, items, *test_period))
     test = build_set(test_facts, stores, items)
-    return Dataset(train, test, facts, counts, stores, items)
+    return Dataset(train, test, facts, counts, stores, items, plan)
 
 
 def load(spark: SparkSession, sf_dir: str, **kw) -> Dataset:
@@ -108,22 +133,42 @@ def normalised(ds: Dataset, item_stats: DataFrame | None = None, sparse: bool =
         st = sparse_stats(ds, ds.stores, ds.items)
     else:
         st = stats.item_stats(train)
-    train_n = stats.normalise(train, st).drop(*UNUSED_COLUMNS)
+    if ds.plan is not None:      # the statistics join the items, not the grid's rows
+        train_n = stats.standardise(sample.fill_missing(train_set(ds.facts, ds.stores, ds.items, ds.counts, ds.plan, st)))
+    else:
+        train_n = stats.normalise(train, st)
+    train_n = train_n.drop(*UNUSED_COLUMNS)
     test_n = stats.normalise(test, st).drop(*UNUSED_COLUMNS)
     return train_n, test_n, st
 
 
+def category_rows(ds: Dataset, st: DataFrame) -> DataFrame:
+    """Rows that hold every value of the dimension columns of the normalised training rows:
+    each item with one store, each store with one item. The panel is the product of its
+    items, stores and dates, so a vocabulary of these rows is that of all; where the product
+    is empty, so are these."""
+    own = ds.facts.select("item_nbr").distinct().join(ds.items, "item_nbr").join(st.select("item_nbr"), "item_nbr", "left_semi")
+    there = ds.facts.select("store_nbr").distinct().join(ds.stores, "store_nbr")
+    return own.crossJoin(there.limit(1)).unionByName(own.limit(1).crossJoin(there))
+
+
+def _fit_rows(ds: Dataset, st: DataFrame) -> DataFrame | None:
+    # a dataset that was read back carries no key sets: its vocabularies come from its rows
+    return None if ds.plan is None else category_rows(ds, st)
+
+
 def tree_frames(ds: Dataset, item_stats: DataFrame | None = None, test_size: float = 0.2,
                 seed=42) -> ModelFrames:
     """Label-encoded frames for the boosted trees (codes as doubles carrying
     nominal ML attributes)."""
-    return encode_trees(*normalised(ds, item_stats), test_size, seed)
+    frames = normalised(ds, item_stats)
+    return encode_trees(*frames, test_size, seed, fit_on=_fit_rows(ds, frames[2]))
 
 
 def encode_trees(train_n: DataFrame, test_n: DataFrame, st: DataFrame, test_size: float = 0.2,
-                 seed=42) -> ModelFrames:
+                 seed=42, fit_on: DataFrame | None = None) -> ModelFrames:
     """Label codes fitted on the normalised training rows, applied to both sides."""
-    train_e, test_e, enc = encode.label_encode(train_n, test_n, CATEGORICAL)
+    train_e, test_e, enc = encode.label_encode(train_n, test_n, CATEGORICAL, fit_on=fit_on)
     train_e = split.with_split(train_e.withColumn("onpromotion", F.col("onpromotion").cast("double")),
                                test_size, seed)
     test_e = test_e.withColumn("onpromotion", F.col("onpromotion").cast("double"))
@@ -133,13 +178,14 @@ def encode_trees(train_n: DataFrame, test_n: DataFrame, st: DataFrame, test_size
 def mlp_frames(ds: Dataset, item_stats: DataFrame | None = None, test_size: float = 0.2,
                seed=42) -> ModelFrames:
     """One-hot frames for the MLP; the vocabulary is fitted on training rows."""
-    return encode_mlp(*normalised(ds, item_stats), test_size, seed)
+    frames = normalised(ds, item_stats)
+    return encode_mlp(*frames, test_size, seed, fit_on=_fit_rows(ds, frames[2]))
 
 
 def encode_mlp(train_n: DataFrame, test_n: DataFrame, st: DataFrame, test_size: float = 0.2,
-               seed=42) -> ModelFrames:
+               seed=42, fit_on: DataFrame | None = None) -> ModelFrames:
     """One-hot columns from the training vocabulary, on both sides."""
-    vocab = encode.fit_one_hot(train_n, CATEGORICAL)
+    vocab = encode.fit_one_hot(train_n if fit_on is None else fit_on, CATEGORICAL)
     cast = {"onpromotion": F.col("onpromotion").cast("int")}
     train_e = split.with_split(encode.one_hot(train_n, vocab).withColumns(cast), test_size, seed)
     test_e = encode.one_hot(test_n, vocab).withColumns(cast)
