@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.llm.common import U64, components, discard, materialise, mix64, prepare, shingle_sets, table, thinned
-from shelfcast.llm.jaccard import frequent_order, list_links
+from shelfcast.llm.jaccard import counted_shingles, frequent_order, list_links
 
 PERMS = 128
 BANDS = 32            # of PERMS / BANDS lanes
@@ -130,16 +130,9 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int32()), J.sketches(got), J.wide_sketches(got),
                                               pa.array([h.tobytes() for h in got], pa.binary())], names=["sid", "n", "sketch", "wide", "hashes"])
 
-    def count(batches):
-        from shelfcast.llm import jaccard as J
-        for b in batches:
-            got = [np.frombuffer(h, np.uint64) for h in b.column(0).to_pylist()]
-            tokens, n = J.often(got) if got else (np.zeros(0, np.uint64), [])
-            yield pa.RecordBatch.from_arrays([J._long(tokens), pa.array(n, pa.int64())], names=["token", "n"])
-
     s = materialise(texts.select("th", "t").mapInArrow(sets, "sid bigint, n int, sketch array<bigint>, wide binary, hashes binary"), "minhash-sets")
-    values = frequent_order(s.select("hashes").mapInArrow(count, "token bigint, n bigint"))
-    frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # at most 8 MB
+    values = frequent_order(counted_shingles(s))
+    frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # 8 MB
     links = list_links(lists, s.filter("n > 0").select("sid", "n", "sketch", "wide"), lambda wanted: s, frequent, [], percent=percent, near=NEAR)
     links = links.groupBy(F.greatest("a", "b").alias("th"), F.least("a", "b").alias("near_th")).agg(
         F.first(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))

@@ -526,3 +526,20 @@ def test_classifier_sums_by_marks_equal_brute_force(spark):
                     weight += 0.5
             want += [*g, weight]
     assert np.allclose(got[:len(want)], want) and not got[len(want):].any()
+
+
+def test_jaccard_order_counts_over_all_batches(spark):
+    """A shingle in few sets of every batch, but in many of all, comes after those that are rare overall."""
+    r = np.random.default_rng(3)
+    common.prepare(spark)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 12))
+    passage = "alpha beta gamma"
+    texts = [f"{passage} " + " ".join(word() for _ in range(8)) if k % 50 == 0 else " ".join(word() for _ in range(8)) for k in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)    # 2 or 3 of 125 in a batch
+    order = jaccard.Order(jaccard.frequent_order(jaccard.describe(docs)[1]))
+    h = common.shingle_hashes(texts[0], 3)
+    few, often = order.split(h)
+    assert often.tolist() == common.shingle_hashes(passage, 3).tolist()
+    assert sorted(few.tolist() + often.tolist()) == h.tolist()
+    again = jaccard.counted_shingles(spark.createDataFrame([(bytearray(common.shingle_hashes(t, 3).tobytes()),) for t in texts], "hashes binary"))
+    assert (jaccard.frequent_order(again) == order.ranks).all()
