@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfcast.llm.common import U64, components, discard, materialise, mix64, prepare, shingle_sets, table, thinned
-from shelfcast.llm.jaccard import counted_shingles, frequent_order, list_links
+from shelfcast.llm.jaccard import SKETCH_WORDS, counted_shingles, frequent_order, list_links
 
 PERMS = 128
 BANDS = 32            # of PERMS / BANDS lanes
@@ -133,7 +133,8 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
     s = materialise(texts.select("th", "t").mapInArrow(sets, "sid bigint, n int, sketch array<bigint>, wide binary, hashes binary"), "minhash-sets")
     values = frequent_order(counted_shingles(s))
     frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # 8 MB
-    links = list_links(lists, s.filter("n > 0").select("sid", "n", "sketch", "wide"), lambda wanted: s, frequent, [], percent=percent, near=NEAR)
+    links = list_links(lists, s.filter("n > 0").select("sid", "n", "sketch", "wide"), lambda wanted: s, frequent, [], percent=percent, near=NEAR,
+                       words=SKETCH_WORDS)    # many that share a band are unlike: pairs meet with all of the sketch
     links = links.groupBy(F.greatest("a", "b").alias("th"), F.least("a", "b").alias("near_th")).agg(
         F.first(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
     return (links.join(asked.select("th", F.col("i").alias("id")), "th")

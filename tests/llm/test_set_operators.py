@@ -543,3 +543,19 @@ def test_jaccard_order_counts_over_all_batches(spark):
     assert sorted(few.tolist() + often.tolist()) == h.tolist()
     again = jaccard.counted_shingles(spark.createDataFrame([(bytearray(common.shingle_hashes(t, 3).tobytes()),) for t in texts], "hashes binary"))
     assert (jaccard.frequent_order(again) == order.ranks).all()
+
+
+def test_minhash_unlike_texts_of_a_band_make_no_pairs(spark, monkeypatch):
+    """Texts with a long passage in common share bands, but are less than 80 % alike: the sketches in the lists rule the pairs out."""
+    r = np.random.default_rng(4)
+    word = lambda k: [f"w{x}" for x in r.integers(0, 10 ** 6, k)]
+    passage = word(200)
+    texts = [" ".join(passage + word(130)) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (90, texts[0] + " more")], "doc_id long, text string")
+    may_link, asked = jaccard._may_link, []
+    monkeypatch.setattr(jaccard, "_may_link", lambda pairs, *a: asked.append(pairs.count()) or may_link(pairs, *a))
+    prints = common.materialise(minhash.fingerprints(docs), "prints")
+    lists = minhash.bands(prints).groupBy("key").count().filter("count > 2").count()
+    near = minhash.near_pairs(docs, prints)
+    assert [(x.id, x.near_id) for x in near.collect()] in ([(0, 90)], [(90, 0)])
+    assert lists > 0 and max(asked) == 1
