@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import U64, components, discard, materialise, mix64, prepare, shingle_sets, table, thinned
+from shelfcast.llm.common import U64, components, discard, materialise, mix64, prepare, shingle_sets, sliced, table, thinned
 from shelfcast.llm.jaccard import SKETCH_WORDS, counted_shingles, frequent_order, list_links
 
 PERMS = 128
@@ -125,14 +125,14 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
     def sets(batches):
         from shelfcast.llm import jaccard as J
         from shelfcast.llm import minhash as M
-        for b in batches:
+        for b in M.sliced(batches):
             got = M.shingle_sets(b.column(1).to_pylist(), M.SHINGLE)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in got], pa.int32()), J.sketches(got), J.wide_sketches(got),
                                               pa.array([h.tobytes() for h in got], pa.binary())], names=["sid", "n", "sketch", "wide", "hashes"])
 
     s = materialise(texts.select("th", "t").mapInArrow(sets, "sid bigint, n int, sketch array<bigint>, wide binary, hashes binary"), "minhash-sets")
     values = frequent_order(counted_shingles(s))
-    frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # 8 MB
+    frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # 4 MB
     links = list_links(lists, s.filter("n > 0").select("sid", "n", "sketch", "wide"), lambda wanted: s, frequent, [], percent=percent, near=NEAR,
                        words=SKETCH_WORDS)    # many that share a band are unlike: pairs meet with all of the sketch
     links = links.groupBy(F.greatest("a", "b").alias("th"), F.least("a", "b").alias("near_th")).agg(
@@ -192,7 +192,7 @@ def neighbours(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range:
         from shelfcast.llm import minhash as M
         cuts, firsts, before = spread.value
         pack = zstandard.ZstdCompressor().compress
-        for b in batches:
+        for b in M.sliced(batches):
             ids = b.column(0).to_pylist()
             part = M.ranges(ids, cuts)
             lead = [k for k, (p, i) in enumerate(zip(part.tolist(), ids)) if firsts[p] is None or firsts[p] == i]
@@ -227,7 +227,7 @@ def edits(docs: DataFrame, id_col="doc_id", text_col="text", rows_a_range: int =
         unpack = zstandard.ZstdDecompressor().decompress
         held = None      # (part, id, text, th, lanes) still waiting for its successor
         closed = None    # the part whose borrowed row has been used
-        for b in batches:
+        for b in M.sliced(batches):
             ready = []
             rows = [(*r[:4], unpack(r[4]).decode()) for r in zip(*(c.to_pylist() for c in b.columns))]
             for (part, own, i, th, t), h in zip(rows, M.shingle_sets([r[4] for r in rows], M.SHINGLE)):

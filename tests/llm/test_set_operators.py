@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -559,3 +560,10 @@ def test_minhash_unlike_texts_of_a_band_make_no_pairs(spark, monkeypatch):
     near = minhash.near_pairs(docs, prints)
     assert [(x.id, x.near_id) for x in near.collect()] in ([(0, 90)], [(90, 0)])
     assert lists > 0 and max(asked) == 1
+
+
+def test_sliced_batches_are_bounded_and_whole():
+    big = pa.RecordBatch.from_arrays([pa.array(range(2 * common.ROWS_AT_ONCE + 5))], names=["x"])
+    got = list(common.sliced(iter([big, big.slice(0, 0), big.slice(0, 7)])))
+    assert [b.num_rows for b in got] == [common.ROWS_AT_ONCE] * 2 + [5, 7]
+    assert [x for b in got for x in b.column(0).to_pylist()] == [*range(2 * common.ROWS_AT_ONCE + 5), *range(7)]
