@@ -27,8 +27,13 @@ def train_flag(seed=DEFAULT_SEED, test_size: float = 0.2,
     """True for the training side of a (1 - test_size) / test_size split.
 
     The hash is read as a number in [0, 1): its last decimal digit gives the
-    tenths, the rest of it the finer places."""
+    tenths, the rest of it the finer places. A size of whole tenths is judged by
+    that digit alone, so that the hash is taken once: a filter's expression that
+    names it twice is computed twice."""
     h = key_hash(seed, *cols)
+    tenths = round(10 * (1.0 - test_size))
+    if round(1.0 - test_size, 9) == tenths / 10:
+        return h % 10 < F.lit(tenths)
     place = (h % 10 + F.floor(h / 10) / F.lit(float(2 ** 32 // 10 + 1))) / 10
     return place < F.lit(round(1.0 - test_size, 9))
 

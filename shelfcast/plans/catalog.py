@@ -176,6 +176,11 @@ def _normalised(spark, sf_dir):
     return _NORM_CACHE[k]
 
 
+def _keyed_rows(spark, sf_dir) -> DataFrame:
+    """The normalised training rows with the text of (item, date) that the splits hash."""
+    return prepare.normalised(_ds(spark, sf_dir), _normalised(spark, sf_dir)[2], item_date=True)[0]
+
+
 _CATEGORY_CACHE: dict = {}
 
 
@@ -251,8 +256,8 @@ def segment_day(spark, sf_dir):
 # non-learned predictor (training-split mean of the z-scored units per item and weekday)
 
 def _baseline_scored(spark, sf_dir) -> DataFrame:
-    tr, te, st = _normalised(spark, sf_dir)
-    fit_rows = split.with_split(tr).filter(F.col("is_train"))
+    te = _normalised(spark, sf_dir)[1]
+    fit_rows = split.with_split(_keyed_rows(spark, sf_dir)).filter(F.col("is_train"))
     model = fit_rows.groupBy("item_nbr", "day_of_week").agg(F.avg("unit_sales").alias("prediction"))
     # merge: the plan takes the model for as small as the rows the grid is grown from
     return (te.join(model.hint("merge"), ["item_nbr", "day_of_week"], "left")
@@ -313,8 +318,8 @@ def _fold_errors(spark, sf_dir, months, k: int = 5) -> DataFrame:
     fold's squared error is sum y^2 - 2 p sum y + n p^2 - no refit, and no join: a group's
     folds meet in one row with their running sums by month. All groups hold the item, by which
     the rows are dealt, so nothing is exchanged before the errors per (setting, fold, iteration)."""
-    tr, _, _ = _normalised(spark, sf_dir)
-    rows = split.assign_fold(tr.select(*KEY, "month", "day_of_week", "unit_sales"), k)
+    tr = _keyed_rows(spark, sf_dir)
+    rows = split.assign_fold(tr.select(*KEY, "month", "day_of_week", "unit_sales", split.ITEM_DATE), k)
     sums = rows.groupBy("item_nbr", "day_of_week", "month", "fold").agg(*_sums())
     own = (sums.withColumn("g", F.explode(F.array(*[F.struct(F.lit(n).alias("setting"), c.cast("int").alias("part"))
                                                     for n, c in _settings().items()])))
@@ -354,8 +359,8 @@ def _month_curve(spark, sf_dir) -> DataFrame:
     group's running training sums and validation sums meet in one row; a validation group's
     squared error at prediction p is sum y^2 - 2 p sum y + n p^2. The groups hold the item,
     by which the rows are dealt: no join and no exchange before the errors per iteration."""
-    tr, _, _ = _normalised(spark, sf_dir)
-    rows = split.with_split(tr.select(*KEY, "month", "day_of_week", "unit_sales"))
+    tr = _keyed_rows(spark, sf_dir)
+    rows = split.with_split(tr.select(*KEY, "month", "day_of_week", "unit_sales", split.ITEM_DATE))
     sums = rows.groupBy("item_nbr", "day_of_week", "month", "is_train").agg(*_sums())
     fit, held, months = F.col("is_train"), ~F.col("is_train"), range(1, 13)
     group = (sums.groupBy("item_nbr", "day_of_week")

@@ -51,15 +51,17 @@ def train_panel(facts: DataFrame, counts: dict | None = None, **grid_args) -> Da
 
 
 def train_set(facts: DataFrame, stores: DataFrame, items: DataFrame, counts: dict, plan: dict | None,
-              item_columns: DataFrame | None = None, **grid_args) -> DataFrame:
+              item_columns: DataFrame | None = None, item_date: bool = False, **grid_args) -> DataFrame:
     """The zero-filled panel with dimensions and calendar (inner joins, as in ``build_set``),
     and the columns of ``item_columns`` (item_nbr, ...), rows of items without them dropped.
+    ``item_date`` adds the text that ``split`` hashes (``split.ITEM_DATE``).
 
     The item's columns and the date's are attached before the grid's rows are made."""
     extra = [] if item_columns is None else [c for c in item_columns.columns if c != "item_nbr"]
     if plan is None:
         out = build_set(train_panel(facts, counts, **grid_args), stores, items)
-        return out if item_columns is None else out.join(item_columns, "item_nbr").select(*SET_COLUMNS, *extra)
+        out = out if item_columns is None else out.join(item_columns, "item_nbr").select(*SET_COLUMNS, *extra)
+        return split.with_item_date(out) if item_date else out
 
     def with_item(keys):
         keys = keys.join(items, "item_nbr")
@@ -68,8 +70,11 @@ def train_set(facts: DataFrame, stores: DataFrame, items: DataFrame, counts: dic
     # the grid's stores were counted (at most max_inline): their rows are the side to broadcast. Sizes
     # can't tell, for a plan knows the grid by the few rows that it is grown from.
     there = stores.join(facts.select("store_nbr").distinct(), "store_nbr", "left_semi")
-    out = G.packed_panel(facts, plan, with_item, date_features).join(F.broadcast(there), "store_nbr")
-    return out.select(*SET_COLUMNS, *extra)
+    def with_date(days):
+        return split.with_item_date(date_features(days)) if item_date else date_features(days)
+
+    out = G.packed_panel(facts, plan, with_item, with_date).join(F.broadcast(there), "store_nbr")
+    return out.select(*SET_COLUMNS, *extra, *([split.ITEM_DATE] if item_date else []))
 
 
 def build_dataset(sales: DataFrame, stores: DataFrame, items: DataFrame,
@@ -118,13 +123,14 @@ class ModelFrames:
     encoder: object = None  # fitted label encoder or one-hot vocabulary
 
 
-def normalised(ds: Dataset, item_stats: DataFrame | None = None, sparse: bool = True):
+def normalised(ds: Dataset, item_stats: DataFrame | None = None, sparse: bool = True, item_date: bool = False):
     """Fill, per-item statistics of the training rows, z-score both sides, drop
     the columns the models never use.
 
     By default the statistics come from the observed facts (``sparse_stats``):
     the grid is then generated once, for the rows being normalised, instead of
-    once more for an aggregate over all of it."""
+    once more for an aggregate over all of it. ``item_date``: the training rows carry
+    the text that ``split`` hashes."""
     train = sample.fill_missing(ds.train)
     test = sample.fill_missing(ds.test)
     if item_stats is not None:
@@ -134,9 +140,10 @@ def normalised(ds: Dataset, item_stats: DataFrame | None = None, sparse: bool =
     else:
         st = stats.item_stats(train)
     if ds.plan is not None:      # the statistics join the items, not the grid's rows
-        train_n = stats.standardise(sample.fill_missing(train_set(ds.facts, ds.stores, ds.items, ds.counts, ds.plan, st)))
+        train_n = stats.standardise(sample.fill_missing(train_set(ds.facts, ds.stores, ds.items, ds.counts, ds.plan, st, item_date)))
     else:
         train_n = stats.normalise(train, st)
+        train_n = split.with_item_date(train_n) if item_date else train_n
     train_n = train_n.drop(*UNUSED_COLUMNS)
     test_n = stats.normalise(test, st).drop(*UNUSED_COLUMNS)
     return train_n, test_n, st
