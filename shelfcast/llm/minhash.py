@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import U64, components, discard, materialise, mix64, prepare, shingle_sets, sliced, table, thinned
+from shelfcast.llm.common import U64, components, discard, materialise, mix64, parted, prepare, shingle_sets, sliced, table, thinned
 from shelfcast.llm.jaccard import SKETCH_WORDS, counted_shingles, frequent_order, list_links
 
 PERMS = 128
@@ -102,14 +102,14 @@ def bands(prints: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """(id, th, near_id, near_th, jaccard): verified links between different
     texts that share a band; they span the same components as all such links.
-    ``prints``: (id, th, lanes), read three times. Equal texts share one
+    ``prints``: (id, th, lanes), read twice. Equal texts share one
     representative, their smallest id."""
     spark = docs.sparkSession
     prepare(spark)
-    # equal texts have equal keys and hashes: no copy makes a group larger after the map side
-    heads = bands(prints).groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("last")).filter("head <> last").select("key")
-    heads = materialise(heads, "minhash-heads")
-    members = materialise(bands(prints).join(heads, "key", "left_semi").distinct().select(F.col("key").alias("token"), F.col("th").alias("sid")),
+    # dealt by band once: the groups of different texts and their members are read from the same exchange
+    dealt = bands(prints).repartition("key")
+    heads = dealt.groupBy("key").agg(F.min("th").alias("head"), F.max("th").alias("last")).filter("head <> last").select("key")
+    members = materialise(dealt.join(heads.hint("merge"), "key", "left_semi").distinct().select(F.col("key").alias("token"), F.col("th").alias("sid")),
                           "minhash-members")
     # the head of a group is its smallest hash
     size = members.groupBy("token").agg(F.count("*").alias("c"))
@@ -135,6 +135,7 @@ def near_pairs(docs: DataFrame, prints: DataFrame, id_col="doc_id", text_col="te
     frequent = (hashlib.blake2b(values.tobytes()).hexdigest(), spark.sparkContext.broadcast(values))  # 4 MB
     links = list_links(lists, s.filter("n > 0").select("sid", "n", "sketch", "wide"), lambda wanted: s, frequent, [], percent=percent, near=NEAR,
                        words=SKETCH_WORDS)    # many that share a band are unlike: pairs meet with all of the sketch
+    discard(lists, s)
     links = links.groupBy(F.greatest("a", "b").alias("th"), F.least("a", "b").alias("near_th")).agg(
         F.first(F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))).alias("jaccard"))
     return (links.join(asked.select("th", F.col("i").alias("id")), "th")
@@ -277,6 +278,8 @@ def op9_minhash(spark, sf_dir):
     r = materialise(edits(docs), "minhash-fingerprints")
     near = materialise(near_pairs(docs.withColumn("text", F.coalesce("text", F.lit(""))), r.select("doc_id", "th", "lanes")), "minhash-near")
     best = materialise(classes(r.select("doc_id", "th"), near), "minhash-classes")
-    return readable(r.join(best, "th", "left")).select(
+    # only texts that may have a class of their own move, with their lanes
+    some, others = parted(r, best)
+    return readable(some.join(best, "th", "left").unionByName(others, allowMissingColumns=True)).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id",
         F.coalesce("class_id", "doc_id").alias("class_id"))
